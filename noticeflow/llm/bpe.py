@@ -309,7 +309,7 @@ class Encoder:
             keys, firsts, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             new = np.empty(len(keys), np.int32)
             lowered = low.tobytes()
-            most = (1 << WordTable.BITS) * 3 // 4 - self.words.n
+            most = (1 << self.words.BITS) * 3 // 4 - self.words.n
             if len(keys) > most:  # more new words than the table holds: a table for this chunk alone
                 self.words.clear()
                 self.words.BITS = max(self.words.BITS, (2 * len(hashes)).bit_length())
