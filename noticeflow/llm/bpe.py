@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, columns, span_hashes, text_bytes
+from .common import HashIndex, chunks, columns, span_hashes, text_bytes
 
 WORD_END, END = "</w>", "\n"  # the end mark in the file and inside
 #: Words that a worker keeps: the table is emptied at the first chunk after it holds more.
@@ -153,48 +153,20 @@ class Automaton:
         return path
 
 
-class WordTable:
-    """The hash of a word -> its row: ids and labels, in flat arrays. Open addressing, so that a
-    whole chunk of words is looked up at once."""
-
-    BITS = 20
-
-    def __init__(self) -> None:
-        self.clear()
+class WordTable(HashIndex):
+    """The hash of a word -> its row: ids and labels, in flat arrays."""
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.rows = np.zeros(1 << self.BITS, np.int32)
-        self.n = 0
+        super().clear()
         self.ids, self.labels = array("I"), bytearray()
         self.id_ends, self.label_ends = array("q", [0]), array("q", [0])
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """A row for each hash, -1 where there is none."""
-        mask = np.uint64((1 << self.BITS) - 1)
-        out = np.full(len(hashes), -1, np.int32)
-        todo = np.arange(len(hashes))
-        slots = (hashes & mask).astype(np.int64)
-        while len(todo):
-            keys = self.keys[slots]
-            same = keys == hashes[todo]
-            out[todo[same]] = self.rows[slots[same]]
-            on = ~same & (keys != 0)
-            todo, slots = todo[on], (slots[on] + 1) & int(mask)
-        return out
-
     def add(self, key: int, ids: list[int], labels: bytes) -> int:
-        mask = (1 << self.BITS) - 1
-        slot = key & mask
-        while self.keys[slot]:
-            slot = (slot + 1) & mask
-        self.keys[slot], self.rows[slot] = key, self.n
         self.ids.extend(ids)
         self.labels += labels
         self.id_ends.append(len(self.ids))
         self.label_ends.append(len(self.labels))
-        self.n += 1
-        return self.n - 1
+        return self.put(key)
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,8 +281,7 @@ class Encoder:
             keys, firsts, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             new = np.empty(len(keys), np.int32)
             lowered = low.tobytes()
-            most = (1 << self.words.BITS) * 3 // 4 - self.words.n
-            if len(keys) > most:  # more new words than the table holds: a table for this chunk alone
+            if not self.words.room(len(keys)):  # more new words than the table holds: a table for this chunk alone
                 self.words.clear()
                 self.words.BITS = max(self.words.BITS, (2 * len(hashes)).bit_length())
                 self.words.clear()

@@ -108,6 +108,47 @@ def gram_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix((p[ends] - p[starts]) * down[starts] + (ends - starts + seed).astype(U64) * U64(0xE7037ED1A0B428DB))
 
 
+class HashIndex:
+    """64-bit hashes -> rows numbered as they come, by open addressing: a whole chunk's hashes are
+    looked up at once."""
+
+    BITS = 20
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, U64)
+        self.rows = np.zeros(1 << self.BITS, np.int32)
+        self.n = 0
+
+    def room(self, new: int) -> bool:
+        return self.n + new <= (1 << self.BITS) * 3 // 4
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """A row for each hash (none is 0), -1 where there is none."""
+        mask = (1 << self.BITS) - 1
+        out = np.full(len(hashes), -1, np.int32)
+        todo = np.arange(len(hashes))
+        slots = (hashes & U64(mask)).astype(np.int64)
+        while len(todo):
+            keys = self.keys[slots]
+            same = keys == hashes[todo]
+            out[todo[same]] = self.rows[slots[same]]
+            on = ~same & (keys != 0)
+            todo, slots = todo[on], (slots[on] + 1) & mask
+        return out
+
+    def put(self, key: int) -> int:
+        mask = (1 << self.BITS) - 1
+        slot = key & mask
+        while self.keys[slot]:
+            slot = (slot + 1) & mask
+        self.keys[slot], self.rows[slot] = key, self.n
+        self.n += 1
+        return self.n - 1
+
+
 # ---------------------------------------------------------------- words
 
 
