@@ -1,11 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed token sequences out.
 
+STAGES are applied in order, each to all that the one before has kept, with a Parquet table in
+between. All but the last return the columns of documents:
+
+language    documents without letters, or mostly in scripts of no learned language, go
+near_dup    of each group of near-duplicates (five-word shingles, similarity of 0.8) one stays
+repeats     passages of 50 words and more that stood before are cut out of later texts; a text of
+            which nothing is left goes
+private     personal data is replaced by its kind, such as [EMAIL]
+packing     texts become tokens, cut and packed into sequences of at most 2048
+
+SQL can't express these stages; tests hold each one, and the whole, against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from noticeflow.llm import langid, minhash, packing, pii, suffixes
+from noticeflow.llm.common import documents, materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.in_known_languages(docs)
+
+
+def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs, k=5)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_dup", near_dup), ("repeats", repeats), ("private", private), ("packing", packed)]
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name)
     return docs

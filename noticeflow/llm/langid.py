@@ -295,6 +295,13 @@ def predict(docs: DataFrame) -> DataFrame:
 def in_known_languages(docs: DataFrame, **names) -> DataFrame:
     """The rows of docs, with their columns, that are in a learned language: those without letters,
     or with less than half of them in scripts of learned languages, are rejected."""
-    model = train_on(docs, **names)
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(names.get("text_col", "text")).alias("text"))
-    return identify(own, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= 0.5)).select("row.*")
+    model, text_col = train_on(docs, **names), names.get("text_col", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model)
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                found = [verdict(x) for x in labeller.spans(part.column(text_col))]
+                yield part.filter(pa.array([lang != UNKNOWN and known >= 0.5 for lang, _, known in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
