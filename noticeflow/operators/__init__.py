@@ -1,0 +1 @@
+"""Relational operators of notice processing: deduplication, naming, attempts."""

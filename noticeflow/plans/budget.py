@@ -1,8 +1,9 @@
-"""Daily spend with a stop latch."""
+"""Daily spend: totals with a stop latch, running sums, one alert a day, and the cost of calls."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -10,3 +11,24 @@ def daily_budget(usage: DataFrame, ts: Column, cost: Column, limit_usd: float) -
     """AGG1: spend per day and whether it reached the limit."""
     total = F.sum(cost)
     return usage.groupBy(F.to_date(ts).alias("day")).agg(F.round(total, 2).alias("spent_usd"), (total >= F.lit(limit_usd)).alias("stopped"))
+
+
+def running_spend(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float) -> DataFrame:
+    """WIN3: each call with its day's spend so far, and whether the latch is set by then."""
+    w = W.partitionBy("day").orderBy(ts, key).rowsBetween(W.unboundedPreceding, 0)
+    spent = usage.withColumn("day", F.to_date(ts)).withColumn("running", F.sum(cost).over(w))
+    return spent.withColumn("stopped", F.max(F.col("running") >= limit_usd).over(w))
+
+
+def alerts(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float) -> DataFrame:
+    """WIN6: the first call of each day at which the limit is reached."""
+    hit = running_spend(usage, ts, cost, key, limit_usd).filter("stopped")
+    return hit.withColumn("n", F.row_number().over(W.partitionBy("day").orderBy(ts, key))).filter("n = 1").drop("n")
+
+
+def call_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """JON8: cost of each call: tokens that weren't cached at the input price, cached ones at the
+    cached price, completions at the output price. Calls without usage or price cost nothing."""
+    fresh = F.greatest(F.col("prompt_tokens") - F.coalesce("cached_tokens", F.lit(0)), F.lit(0))
+    cost = fresh * F.col("input_cost") + F.coalesce("cached_tokens", F.lit(0)) * F.col("cached_cost") + F.col("completion_tokens") * F.col("output_cost")
+    return usage.join(prices, "model", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0.0)))

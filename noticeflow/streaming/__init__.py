@@ -1,0 +1 @@
+"""Structured Streaming forms: events, ledgers and budgets."""
