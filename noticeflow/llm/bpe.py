@@ -8,9 +8,9 @@ A token sequence that the finished automaton accepts is the one that BPE gives f
 
 A row of the transition table would have an arc for almost every token, so gadgets are kept as
 (left, right, rank) and cut arcs as (a, b) -> rank; an arc is looked up by following the gadgets
-that copied it back to their symbols, then kept in the table. A word is encoded by walking the
-automaton with the longest label first and stepping back where no arc goes on; as exactly one
-accepted path spells a word, the path found is BPE's. Decoding emits the labels of the arcs.
+that copied it back to their symbols, then kept in the table. Exactly one accepted path spells a
+word, and its prefixes are accepted paths too, so a word is encoded in one go from left to right, by
+transitions looked up in the table. Decoding emits the labels of the arcs.
 
 Null text counts as empty: no tokens, and the hashes of nothing.
 """
@@ -31,7 +31,9 @@ from .common import HashIndex, chunks, columns, span_hashes, text_bytes
 
 WORD_END, END = "</w>", "\n"  # the end mark in the file and inside
 #: Words that a worker keeps: the table is emptied at the first chunk after it holds more.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_400_000
+#: Arcs that a worker keeps; the table is emptied when it is full.
+CACHE_ARCS = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -66,10 +68,10 @@ class Automaton:
             self.add_gadget(r, self.number[self.inside(a)], self.number[self.inside(b)])
         #: Tokens that BPE gives for their own string; no other one is in any accepted path.
         self.labels = {x: t for x, t in self.number.items() if t < self.bases or self._made(t)}
-        #: The longest label with given first two symbols bounds each step's tries.
+        #: The longest label with given last two symbols bounds each step's tries.
         self.longest: dict[str, int] = {}
         for x in self.labels:
-            self.longest[x[:2]] = max(self.longest.get(x[:2], 1), len(x))
+            self.longest[x[-2:]] = max(self.longest.get(x[-2:], 1), len(x))
 
     @staticmethod
     def inside(token: str) -> str:
@@ -116,46 +118,45 @@ class Automaton:
         return (self.name[t],) if self.table[key] else ()
 
     def encode(self, word: str) -> list[int]:
-        """The accepted path that spells a word of base symbols (without its end mark)."""
+        """The accepted path that spells a word of base symbols (without its end mark). State by
+        state: for each place in the word there is one token that the path to it ends with, as BPE
+        gives one sequence for each prefix; it is the one whose arc leaves the state at its start."""
         s = word + END
         labels, longest, table = self.labels, self.longest, self.table
         if (whole := labels.get(s)) is not None:
             return [whole]
-        end, p, last = len(s), 0, -1
-        path: list[int] = []
-        starts: list[int] = []
-        size = longest.get(s[:2], 1)
-        dead: set[int] = set()
-        while p < end:
-            while size:
-                if (token := labels.get(s[p : p + size])) is not None:
-                    if last < 0:
-                        ok = True
-                    else:
-                        key = last << 32 | token
-                        ok = table.get(key)
-                        if ok is None:
-                            ok = table[key] = self._arc(last, token, len(self.cut))
-                    if ok and not (dead and p + size << 32 | token in dead):
-                        break
-                size -= 1
-            if size:
-                path.append(token)
-                starts.append(p)
-                p, last = min(p + size, end), token
-                size = longest.get(s[p : p + 2], 1)
-            else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add(p << 32 | path.pop())
-                size, p = p - starts[-1] - 1, starts.pop()
-                last = path[-1] if path else -1
-        return path
+        end = len(s)
+        states, starts = [-1] * (end + 1), [0] * (end + 1)
+        for i in range(1, end + 1):
+            if i == end - 1:  # the last symbol and the end mark are one
+                continue
+            for j in range(max(0, i - longest.get(s[max(0, i - 2) : i], 1)), i):
+                if (token := labels.get(s[j:i])) is None:
+                    continue
+                if j:
+                    if (last := states[j]) < 0:
+                        continue
+                    ok = table.get(key := last << 32 | token)
+                    if ok is None:
+                        ok = table[key] = self._arc(last, token, len(self.cut))
+                    if not ok:
+                        continue
+                states[i], starts[i] = token, j
+                break
+        path, i = [], end
+        while i:
+            if states[i] < 0:
+                raise ValueError(f"no path spells {word!r}")
+            path.append(states[i])
+            i = starts[i]
+        return path[::-1]
 
 
 class WordTable(HashIndex):
     """The hash of a word -> its row: ids and labels, in flat arrays."""
 
+    BITS = 21
+
     def clear(self) -> None:
         super().clear()
         self.ids, self.labels = array("I"), bytearray()
@@ -240,14 +241,32 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         tokenizer = Tokenizer.from_file(path)
-        self.normalizer, self.splitter = tokenizer.normalizer, tokenizer.pre_tokenizer
-        self.words = WordTable()
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer, self.normalizer, self.splitter = tokenizer, tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.ending = np.zeros(max(self.tokens) + 1, bool)
+        self.ending[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.tables = {True: WordTable(), False: WordTable()}  # with and without labels
 
     def word(self, mapped: str) -> tuple[list[int], str]:
         """Ids and labels (each with a space after it) of a word in byte symbols."""
         path = self.automaton.encode(mapped)
         return [self.ids_of[t] for t in path], "".join([self.shown[t] + " " for t in path])
 
+    def by_automaton(self, words: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
+        for w in words:
+            ids, labels = self.word("".join([self.symbols[c] for c in w]))
+            yield ids, labels.encode()
+
+    def by_library(self, words: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
+        """Ids alone, as the library gives them for the words in a row; a word ends where a token
+        with the end mark does."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int64)
+        ends = (np.flatnonzero(self.ending[ids]) + 1).tolist()
+        ids = ids.tolist()
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            yield ids[a:b], b""
+
     def one(self, text: str) -> tuple[bytes, bytes]:
         """Any text: the library normalises and splits into words, the automaton encodes them."""
         ids, labels = array("I"), []
@@ -264,7 +283,8 @@ class Encoder:
 
     def batch(self, texts: pa.Array, with_labels: bool = True) -> Iterator[tuple[bytes, bytes]]:
         """Ids (as little-endian unsigned 32-bit integers) and decoded text (the labels of the arcs
-        taken, with spaces between them; UTF-8) of each text."""
+        taken, with spaces between them; UTF-8) of each text. Without labels, which is for callers
+        that want the library's ids alone, new words are encoded by the library itself."""
         data, offsets = text_bytes(texts)
         plain, low, starts, ends = plain_segments(data, offsets)
         raw = data.tobytes()
@@ -273,33 +293,36 @@ class Encoder:
         whose = np.searchsorted(offsets, starts, "right") - 1
         used = plain[whose]
         starts, ends, hashes, whose = starts[used], ends[used], hashes[used], whose[used]
-        if self.words.n > CACHE_WORDS:
-            self.words.clear()
-        rows = self.words.find(hashes)
+        words = self.tables[with_labels]
+        if words.n > CACHE_WORDS:
+            words.clear()
+        if len(self.automaton.table) > CACHE_ARCS:
+            self.automaton.table.clear()
+        rows = words.find(hashes)
         missing = np.flatnonzero(rows < 0)
         while len(missing):
             keys, firsts, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             new = np.empty(len(keys), np.int32)
             lowered = low.tobytes()
-            if not self.words.room(len(keys)):  # more new words than the table holds: a table for this chunk alone
-                self.words.clear()
-                self.words.BITS = max(self.words.BITS, (2 * len(hashes)).bit_length())
-                self.words.clear()
-                rows = self.words.find(hashes)
+            if not words.room(len(keys)):  # more new words than the table holds: a table for this chunk alone
+                words.clear()
+                words.BITS = max(words.BITS, (2 * len(hashes)).bit_length())
+                words.clear()
+                rows = words.find(hashes)
                 missing = np.flatnonzero(rows < 0)
                 continue
-            symbols, take = self.symbols, missing[firsts]
-            for j, (key, s, e) in enumerate(zip(keys.tolist(), starts[take].tolist(), ends[take].tolist(), strict=True)):
-                ids, labels = self.word("".join([symbols[c] for c in lowered[s:e]]))
-                new[j] = self.words.add(key, ids, labels.encode())
+            take = missing[firsts]
+            spans = [lowered[s:e] for s, e in zip(starts[take].tolist(), ends[take].tolist(), strict=True)]
+            for j, (key, (ids, labels)) in enumerate(zip(keys.tolist(), self.by_automaton(spans) if with_labels else self.by_library(spans), strict=True)):
+                new[j] = words.add(key, ids, labels)
             rows[missing] = new[which]
             break
         first = np.searchsorted(whose, np.arange(len(offsets)))
-        ids, to = gather(np.frombuffer(self.words.ids, np.uint32), np.frombuffer(self.words.id_ends, np.int64), rows)
+        ids, to = gather(np.frombuffer(words.ids, np.uint32), np.frombuffer(words.id_ends, np.int64), rows)
         cuts = np.concatenate([[0], to])[first]
         ids = ids.astype("<u4", copy=False)
         if with_labels:
-            text, to = gather(np.frombuffer(self.words.labels, np.uint8), np.frombuffer(self.words.label_ends, np.int64), rows)
+            text, to = gather(np.frombuffer(words.labels, np.uint8), np.frombuffer(words.label_ends, np.int64), rows)
             label_cuts = np.concatenate([[0], to])[first]
         for i in range(len(offsets) - 1):
             if not plain[i] or marked and any(x in raw[offsets[i] : offsets[i + 1]] for x in marked):

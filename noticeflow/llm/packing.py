@@ -136,7 +136,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **names: str | None) -> Data
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = part.join(counts.select("length", "task", "before"), ["length", "task"]).select(
+    ranked = part.join(counts.select("length", "task", "before").hint("merge"), ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("task_rank")).alias("rank")
     )
     placed = ranked.mapInArrow(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

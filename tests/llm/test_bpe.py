@@ -25,6 +25,7 @@ def same(library, texts):
         assert labels.decode() == decoded, text
         assert e.decode(ids) == decoded
         assert e.one(text) == (ids, labels), text
+    assert [x for x, _ in e.batch(pa.array(texts), with_labels=False)] == [x for x, _ in e.batch(pa.array(texts))]
 
 
 def test_like_the_library_on_odd_texts(library):
@@ -39,6 +40,7 @@ def test_like_the_library_on_random_words(library):
 
 def test_small_word_table(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHE_ARCS", 5)
     monkeypatch.setattr(bpe.WordTable, "BITS", 4)
     monkeypatch.setitem(bpe._ENCODERS, PATH, bpe.Encoder(PATH))
     same(library, ["one two three four five six seven", "eight nine ten eleven one", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))])
