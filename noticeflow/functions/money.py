@@ -34,7 +34,7 @@ def estimated_range(c: Column) -> Column:
     s = strip(c)
     sides = F.split(s, RANGE_SEPARATORS)
     unit = F.regexp_extract(s, "([亿万]?)元?$", 1)
-    lo, hi = (F.element_at(sides, i) for i in (1, 2))
+    lo, hi = (F.get(sides, F.lit(i)) for i in (0, 1))
     lo = F.when(lo.rlike("[亿万]"), lo).otherwise(F.concat(lo, unit))
     plain = lambda x: F.regexp_replace(F.format_string("%.2f", to_yuan(x)), r"\.?0+$", "")
     one = plain(s)

@@ -65,7 +65,10 @@ def cleaned_body(raw_body: Column) -> Column:
 def rebuilt(c: Column, parts: Column, new_body: Column) -> Column:
     """PRJ19: the document with its first body section replaced."""
     at = F.array_position(F.transform(parts, lambda s: F.coalesce(s["heading"], F.lit("")) == BODY), True)
-    texts = F.transform(parts, lambda s, i: F.when(i + 1 == at, F.concat_ws("\n\n", s["heading_line"], F.when(new_body != "", new_body))).otherwise(s["raw"]))
+    raws = F.transform(parts, lambda s: s["raw"])
+    place = F.greatest(at, F.lit(1)).cast("int")
+    new = F.concat_ws("\n\n", F.get(parts, place - 1)["heading_line"], F.when(new_body != "", new_body))
+    texts = F.concat(F.slice(raws, F.lit(1), place - 1), F.array(new), F.slice(raws, place + 1, F.greatest(F.size(raws) - place, F.lit(0))))
     return F.when(at == 0, unified(c)).otherwise(strip(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")))
 
 

@@ -65,10 +65,10 @@ def file_name(c: Column) -> Column:
 
 
 def byte_prefix(c: Column, most: int) -> Column:
-    """TXT8: the longest prefix of at most that many UTF-8 bytes. A character that the cut halves
-    decodes to the replacement character, which goes."""
-    cut = F.decode(F.substring(c.cast("binary"), 1, most), "UTF-8")
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+    """TXT8: the longest prefix of at most that many UTF-8 bytes: a character has four at most, so
+    one of the four longest prefixes ends with one."""
+    prefixes = [F.substring(c.cast("binary"), 1, max(0, most - k)).cast("string") for k in range(4)]
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.coalesce(*(F.when(F.is_valid_utf8(x), x) for x in prefixes)))
 
 
 def looks_like_html(c: Column) -> Column:
