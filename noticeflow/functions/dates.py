@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import fold_empty
+from noticeflow.functions.text import fold_empty, let
 
 # Fixed value: a year, month and day with the marks that separate them.
 DATE = r"(\d{4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
@@ -13,16 +13,18 @@ DATE = r"(\d{4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
 
 def normalize_date(c: Column) -> Column:
     """DAT1: the first date in a text; the text itself if there is none, or month or day can't be."""
-    s = fold_empty(c)
-    y, m, d = (F.regexp_extract(s, DATE, i) for i in (1, 2, 3))
-    fits = (y != "") & m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
-    return F.when(fits, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(s)
+
+    def first(s: Column) -> Column:
+        y, m, d = (F.regexp_extract(s, DATE, i) for i in (1, 2, 3))
+        fits = (y != "") & m.try_cast("int").between(1, 12) & d.try_cast("int").between(1, 31)
+        return F.when(fits, F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(s)
+
+    return let(fold_empty(c), first)
 
 
 def bid_open_date(c: Column) -> Column:
     """DAT2: a text that is a date of the calendar in the form YYYY-MM-DD, else null."""
-    s = fold_empty(c)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(s, "yyyy-MM-dd").isNotNull(), s)
+    return let(fold_empty(c), lambda s: F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(s, "yyyy-MM-dd").isNotNull(), s))
 
 
 def in_range(date: Column, start: Column, end: Column) -> Column:

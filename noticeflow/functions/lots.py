@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.money import first_price, price_list, to_yuan
-from noticeflow.functions.text import fold_empty, split_list, strip
+from noticeflow.functions.money import first_price, to_yuan
+from noticeflow.functions.text import fold_empty, let, split_list, strip
 from noticeflow.functions.types import candidate_type
 
 # Chinese numerals, lot marks, and what separates a mark from a subject.
@@ -26,8 +26,6 @@ RAW_CANDIDATES = "array<struct<lotNumber:string,lotName:string,type:string,candi
 
 def numeral_to_int(c: Column) -> Column:
     """NUM9: a number in digits or Chinese numerals; numerals without units are read digit by digit."""
-    s = F.translate(strip(c), "〇两", "零二")
-    digits = F.translate(s, DIGITS, "0123456789").try_cast("bigint")
     zero = F.lit(0).cast("bigint")
     start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("number"))
 
@@ -43,8 +41,12 @@ def numeral_to_int(c: Column) -> Column:
             number.alias("number"),
         )
 
-    read = F.aggregate(F.split(s, ""), start, step, lambda acc: acc["total"] + acc["section"] + acc["number"])
-    return F.when(s.rlike(f"^[{DIGITS}十百千万]*[十百千万][{DIGITS}十百千万]*$"), read).when(s.rlike(rf"^(\d+|[{DIGITS}]+)$"), digits)
+    def value(s: Column) -> Column:
+        read = F.aggregate(F.split(s, ""), start, step, lambda acc: acc["total"] + acc["section"] + acc["number"])
+        digits = F.translate(s, DIGITS, "0123456789").try_cast("bigint")
+        return F.when(s.rlike(f"^[{DIGITS}十百千万]*[十百千万][{DIGITS}十百千万]*$"), read).when(s.rlike(rf"^(\d+|[{DIGITS}]+)$"), digits)
+
+    return let(F.translate(strip(c), "〇两", "零二"), value)
 
 
 def _section(n: Column) -> Column:
@@ -59,39 +61,45 @@ def _section(n: Column) -> Column:
 def int_to_numeral(n: Column) -> Column:
     """NUM10: a positive number in numerals; a zero stands before a section below 1000 if the lower
     section is below 1000 too; 10 to 19 have no leading one."""
-    sections = [F.pmod(F.floor(n / 10_000**i), F.lit(10_000)).cast("int") for i in range(3)]
-    out, lower_small = _section(sections[0]), (sections[0] > 0) & (sections[0] < 1000)
-    some = sections[0] > 0
-    for s, mark in zip(sections[1:], "万亿", strict=True):
-        gap = F.when(lower_small & (s < 1000), "零").otherwise("")
-        out = F.concat(F.when(s > 0, F.concat(gap, _section(s), F.lit(mark))).otherwise(""), out)
-        lower_small = F.when(s > 0, s < 1000).otherwise(some)
-        some = some | (s > 0)
-    return F.when(n > 0, F.regexp_replace(F.regexp_replace(out, "^零+|零+$", ""), "^一十", "十"))
+
+    def said(parts: Column) -> Column:
+        out, lower_small, some = _section(parts[0]), (parts[0] > 0) & (parts[0] < 1000), parts[0] > 0
+        for i, mark in ((1, "万"), (2, "亿")):
+            s = parts[i]
+            gap = F.when(lower_small & (s < 1000), "零").otherwise("")
+            out = F.concat(F.when(s > 0, F.concat(gap, _section(s), F.lit(mark))).otherwise(""), out)
+            lower_small = F.when(s > 0, s < 1000).otherwise(some)
+            some = some | (s > 0)
+        return F.regexp_replace(F.regexp_replace(out, "^零+|零+$", ""), "^一十", "十")
+
+    parts = let(n, lambda x: F.array(*(F.pmod(F.floor(x / 10_000**i), F.lit(10_000)).cast("int") for i in range(3))))
+    return F.when(n > 0, let(parts, said))
 
 
 def _lot_of_numeral(c: Column) -> Column:
-    n = numeral_to_int(c)
-    return F.when(n > 0, F.concat(F.lit("标段"), int_to_numeral(n)))
+    return let(numeral_to_int(c), lambda n: F.when(n > 0, F.concat(F.lit("标段"), int_to_numeral(n))))
 
 
 def lot_number(c: Column) -> Column:
     """LOT1: the lot a text names: by section marks, then by package marks (number after the mark
     first), then as a bare number; null if none."""
-    s = fold_empty(c)
-    tries = []
-    for marks in (SECTION_MARKS, PACKAGE_MARKS):
-        tries.append(F.regexp_extract(s, rf"(?:{marks})\s*第?\s*({NUMERAL})", 1))
-        tries.append(F.regexp_extract(s, rf"第?\s*({NUMERAL})\s*(?:{marks})", 1))
-    return F.coalesce(*(_lot_of_numeral(F.nullif(t, F.lit(""))) for t in tries), _lot_of_numeral(s))
+
+    def tries(s: Column) -> Column:
+        found = []
+        for marks in (SECTION_MARKS, PACKAGE_MARKS):
+            found.append(F.regexp_extract(s, rf"(?:{marks})\s*第?\s*({NUMERAL})", 1))
+            found.append(F.regexp_extract(s, rf"第?\s*({NUMERAL})\s*(?:{marks})", 1))
+        return F.array(*found, s)
+
+    lots = F.transform(let(fold_empty(c), tries), _lot_of_numeral)
+    return F.get(F.filter(lots, lambda x: x.isNotNull()), F.lit(0))
 
 
 def lot_subject(c: Column) -> Column:
     """LOT2: what follows a lot name's last mark, else its last colon; its first line, trimmed."""
-    s = fold_empty(c)
     marks = f"{SECTION_MARKS}|{PACKAGE_MARKS}"
     mark = rf"(?s)^.*(?:(?:{marks})\s*第?\s*{NUMERAL}|第?\s*{NUMERAL}\s*(?:{marks})){MARK_TAIL}"
-    rest = F.when(s.rlike(mark), F.regexp_replace(s, mark, "")).otherwise(F.regexp_replace(s, r"(?s)^.*[：:]", ""))
+    rest = let(fold_empty(c), lambda s: F.when(s.rlike(mark), F.regexp_replace(s, mark, "")).otherwise(F.regexp_replace(s, r"(?s)^.*[：:]", "")))
     line = F.regexp_replace(rest, r"(?s)[\r\n]+.*$", "")
     return strip(F.regexp_replace(line, f"^{TRIM}|{TRIM}$", ""))
 
@@ -123,27 +131,38 @@ def products(raw: Column) -> Column:
     return F.coalesce(F.transform(F.filter(raw, some), row), F.array()).cast(f"array<{PRODUCT}>")
 
 
+def _settled(c: Column) -> Column:
+    """The candidate rows of one lot, from its texts and lists."""
+    names = F.when((F.size(c["names"]) == 0) & (c["winner"] != ""), F.array(c["winner"])).otherwise(c["names"])
+    single = F.coalesce(c["price"], F.when(F.size(c["said"]) == 0, c["won"]))
+    several = F.filter(F.transform(c["said"], to_yuan), lambda x: x.isNotNull())
+    prices = F.when(single.isNotNull(), F.array(single)).otherwise(several)
+    at = lambda xs, i: F.when(F.size(xs) == 1, F.get(xs, F.lit(0))).otherwise(F.get(xs, i))
+
+    def rows(both: Column) -> Column:
+        n = F.greatest(F.size(both["names"]), F.size(both["prices"]), F.lit(1))
+
+        def one(i: Column) -> Column:
+            name = F.coalesce(at(both["names"], i), F.lit(""))
+            kind = F.when((c["kind"] == "") & (c["winner"] != ""), F.when(name == c["winner"], "中标").otherwise("中标候选人")).otherwise(c["kind"])
+            return F.struct(c["lot"].alias("lotNumber"), c["name"].alias("lotName"), kind.alias("type"), name.alias("candidates"), at(both["prices"], i).alias("candidatePrices"))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), one)
+
+    return let(F.struct(names.alias("names"), prices.alias("prices")), rows)
+
+
 def candidates(raw: Column) -> Column:
     """LOT6: one row for each candidate of a lot: candidates and prices side by side, where a list
     of one holds for all; the winner of old records counts as candidate."""
 
     def rows(r: Column) -> Column:
-        winner = fold_empty(r["winner"])
-        names = split_list(r["candidates"])
-        names = F.when((F.size(names) == 0) & (winner != ""), F.array(winner)).otherwise(names)
-        single = F.coalesce(to_yuan(r["candidatePrices"]), F.when(F.size(split_list(r["candidatePrices"])) == 0, to_yuan(r["winningAmount"])))
-        prices = F.when(single.isNotNull(), F.array(single)).otherwise(price_list(r["candidatePrices"]))
-        n = F.greatest(F.size(names), F.size(prices), F.lit(1))
         some = F.concat_ws("", *(fold_empty(r[f]) for f in ("lotNumber", "lotName", "type", "candidates", "candidatePrices", "winner", "winningAmount"))) != ""
-        at = lambda xs, i: F.when(F.size(xs) == 1, F.get(xs, F.lit(0))).otherwise(F.get(xs, i))
-
-        def one(i: Column) -> Column:
-            name = F.coalesce(at(names, i), F.lit(""))
-            kind = candidate_type(r["type"])
-            kind = F.when((kind == "") & (winner != ""), F.when(name == winner, "中标").otherwise("中标候选人")).otherwise(kind)
-            return F.struct(F.coalesce(lot_number(r["lotNumber"]), lot_number(r["lotName"]), F.lit(DEFAULT_LOT)).alias("lotNumber"), fold_empty(r["lotName"]).alias("lotName"), kind.alias("type"), name.alias("candidates"), at(prices, i).alias("candidatePrices"))
-
-        return F.when(some, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+        listed = F.struct(
+            F.coalesce(lot_number(r["lotNumber"]), lot_number(r["lotName"]), F.lit(DEFAULT_LOT)).alias("lot"), fold_empty(r["lotName"]).alias("name"), candidate_type(r["type"]).alias("kind"), fold_empty(r["winner"]).alias("winner"),
+            split_list(r["candidates"]).alias("names"), split_list(r["candidatePrices"]).alias("said"), to_yuan(r["candidatePrices"]).alias("price"), to_yuan(r["winningAmount"]).alias("won"),
+        )
+        return F.when(some, let(listed, _settled)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
 
     return F.coalesce(F.flatten(F.transform(raw, rows)), F.array()).cast(f"array<{CANDIDATE}>")
 

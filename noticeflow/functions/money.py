@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import split_list, strip
+from noticeflow.functions.text import let, split_list, strip
 
 # The forms of numbers and ranges, units and currency marks.
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
@@ -23,22 +23,27 @@ def _amount(s: Column) -> Column:
 
 def to_yuan(c: Column) -> Column:
     """NUM1, NUM2: a text's amount; null for ranges, signs, several numbers or none."""
-    s = strip(c)
-    several = F.size(F.regexp_extract_all(F.regexp_replace(s, "，", ","), F.lit(f"({NUMBER})"), 1)) > 1
-    return F.when((s != "") & ~s.rlike("[~～-]") & ~several, _amount(s).cast("double"))
+
+    def amount(s: Column) -> Column:
+        several = F.size(F.regexp_extract_all(F.regexp_replace(s, "，", ","), F.lit(f"({NUMBER})"), 1)) > 1
+        return F.when((s != "") & ~s.rlike("[~～-]") & ~several, _amount(s).cast("double"))
+
+    return let(strip(c), amount)
 
 
 def estimated_range(c: Column) -> Column:
     """NUM3: `lo~hi` in yuan from a range, where a unit at its end holds for both ends; `x~x` from
     one amount; any other text as it is."""
-    s = strip(c)
-    sides = F.split(s, RANGE_SEPARATORS)
-    unit = F.regexp_extract(s, "([亿万]?)元?$", 1)
-    lo, hi = (F.get(sides, F.lit(i)) for i in (0, 1))
-    lo = F.when(lo.rlike("[亿万]"), lo).otherwise(F.concat(lo, unit))
-    plain = lambda x: F.regexp_replace(F.format_string("%.2f", to_yuan(x)), r"\.?0+$", "")
-    one = plain(s)
-    return F.when((F.size(sides) == 2) & to_yuan(lo).isNotNull() & to_yuan(hi).isNotNull(), F.concat(plain(lo), F.lit("~"), plain(hi))).when(to_yuan(s).isNotNull(), F.concat(one, F.lit("~"), one)).otherwise(s)
+    plain = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
+
+    def of_sides(s: Column) -> Column:
+        sides = F.split(s, RANGE_SEPARATORS)
+        unit = F.regexp_extract(s, "([亿万]?)元?$", 1)
+        lo, hi = (F.get(sides, F.lit(i)) for i in (0, 1))
+        ends = F.struct(s.alias("s"), F.size(sides).alias("n"), to_yuan(F.when(lo.rlike("[亿万]"), lo).otherwise(F.concat(lo, unit))).alias("lo"), to_yuan(hi).alias("hi"), to_yuan(s).alias("one"))
+        return let(ends, lambda e: F.when((e["n"] == 2) & e["lo"].isNotNull() & e["hi"].isNotNull(), F.concat(plain(e["lo"]), F.lit("~"), plain(e["hi"]))).when(e["one"].isNotNull(), F.concat(plain(e["one"]), F.lit("~"), plain(e["one"]))).otherwise(e["s"]))
+
+    return let(strip(c), of_sides)
 
 
 def price_list(c: Column) -> Column:

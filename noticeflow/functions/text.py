@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ RETRY_EXCERPTS = [80_000, 30_000, 8_000]
 FILE_NAME_CAP = 100
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once: an expression that names c several times would otherwise hold it
+    several times, and expressions made of such would grow with each step. Not for Python functions."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """TXT1: without white space of any kind at both ends; null is ''."""
     return F.coalesce(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
@@ -20,8 +28,7 @@ def strip(c: Column) -> Column:
 
 def fold_empty(c: Column) -> Column:
     """TXT1: '' for what means nothing, else the stripped text."""
-    s = strip(c)
-    return F.when(F.lower(s).isin(EMPTY_WORDS), "").otherwise(s)
+    return let(strip(c), lambda s: F.when(F.lower(s).isin(EMPTY_WORDS), "").otherwise(s))
 
 
 def join_list(items: Column) -> Column:
@@ -31,10 +38,11 @@ def join_list(items: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """TXT3: the values of a text: those of a JSON array, else those between separators."""
-    plain = F.split(F.coalesce(c, F.lit("")), LIST_SEPARATORS)
-    parsed = F.when(strip(c).startswith("["), F.from_json(strip(c), "array<string>"))
-    parts = F.coalesce(parsed, plain)
-    return F.filter(F.transform(parts, fold_empty), lambda x: x != "")
+
+    def values(s: Column) -> Column:
+        return F.coalesce(F.when(s.startswith("["), F.from_json(s, "array<string>")), F.split(s, LIST_SEPARATORS))
+
+    return F.filter(F.transform(let(strip(c), values), fold_empty), lambda x: x != "")
 
 
 def tidy_lines(c: Column) -> Column:
