@@ -111,7 +111,7 @@ def rules() -> dict[str, tuple[Column, float]]:
     return {
         "symbols": bad(share("n_symbols", "n_words") > 0.1),
         "capitals": bad(share("n_upper", "n_letters") > 0.5),
-        "windows": bad(share("n_repeat_words", "n_words") > 0.1),
+        "windows": bad(share("n_repeat_words", "n_words") > 0.15),
         "lines": bad(share("n_dup_lines", "n_lines") > 0.3),
         "word_size": bad(~share("word_chars", "n_words").between(2.5, 12)),
         "letters": bad(share("n_letter_words", "n_words") < 0.7),
