@@ -9,12 +9,14 @@ offer more, and the document stops early.
 
 Bands of the signature's rows make buckets. Documents with the same set are one node (its smallest
 doc_id), so copies make no links. Within a bucket, links are tried from a centre to all members; the
-links that hold on full sets (100 * intersection >= 80 * union) are grouped by union-find. Buckets
-whose members then are in more than one group are tried again from other centres, chosen anew by
-hash; what is left after that is tried exhaustively, pairs in one group already excepted. So no pair
-that shares a bucket stays undecided, while a large group of near copies costs a few passes over it,
-not all its pairs. With 32 bands of 5 rows a pair at a similarity of exactly 0.8 shares no bucket
-with a chance of 3e-6.
+centre is the node whose buckets hold most nodes, which for a group of near copies is the one that
+they were made from. The links that hold on full sets (100 * intersection >= 80 * union) are grouped
+by union-find. Where a bucket's nodes are in more than one group, centres from outside the largest
+are tried, and at last all its outsiders against all its nodes: in tiles of bounded size, which
+compare full sets and give only links that hold, each pair in the first bucket that it shares and
+none within one group. So no pair that shares a bucket stays undecided, and a large group of near
+copies costs a few passes over it, plus tiles for the few that aren't linked to its centre. With 32
+bands of 5 rows a pair at a similarity of exactly 0.8 shares no bucket with a chance of 3e-6.
 
 Defined results: a text without words (or null) has n_shingles 0 and is linked with nothing. A text
 with fewer words than a shingle has one shingle, the whole sequence. A row without doc_id can't be
@@ -35,8 +37,10 @@ from .common import chunks, columns, gram_hashes, materialize, mix, split_words
 from .components import components
 
 BANDS, ROWS = 32, 5
-#: Passes from one centre for each bucket before what is left is tried exhaustively.
-CENTRES = 4
+#: Passes from one centre for each bucket before what is left is tried in tiles.
+CENTRES = 3
+#: Shingles of the outsiders and of the nodes in a tile, about.
+TILE = (1 << 17, 1 << 19)
 _GOLD = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -143,29 +147,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     nodes = materialize(sets, "nodes")
     of_nodes = named.join(nodes.select(F.col("node").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
     rows_ = of_nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    large = rows_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    buckets = materialize(rows_.join(large, "bucket").select("bucket", "node", "n", "low"), "buckets")
+    large = rows_.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = materialize(rows_.join(large, "bucket").select("bucket", "node", "n", "size"), "buckets")
+    of_node = buckets.groupBy("node").agg(F.sum("size").alias("mass"), F.array_sort(F.collect_list("bucket")).alias("buckets"))
+    of_node = materialize(of_node, "masses")
+    buckets = materialize(buckets.join(of_node.select("node", "mass"), "node").select("bucket", "node", "n", "mass"), "buckets")
 
-    asked = buckets.select(F.col("node").alias("doc_id")).distinct()
+    asked = of_node.select(F.col("node").alias("doc_id"))
     shingles = materialize(full_sets(source.filter("doc_id is not null").join(asked, "doc_id", "left_semi"), k), "sets")
 
-    def held(centre: str, rows: DataFrame) -> DataFrame:
-        pairs = rows.filter(F.col("node") != F.col(centre)).select(F.col(centre).cast("bigint").alias("a"), F.col("node").alias("b"), "n").distinct()
+    def held(rows: DataFrame) -> DataFrame:
+        pairs = rows.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"), "n").distinct()
         return materialize(verified(pairs, shingles, percent), "links")
 
-    links = materialize(held("low", buckets).unionByName(_same_ids(named, nodes)), "links")
+    centre = buckets.groupBy("bucket").agg(F.max_by("node", "mass").alias("centre"))
+    links = materialize(held(buckets.join(centre, "bucket")).unionByName(_same_ids(named, nodes)), "links")
     groups = components(links)
     left = _undecided(buckets, groups)
-    for i in range(1, CENTRES):
+    for _ in range(1, CENTRES):
         if left.isEmpty():
             break
-        centre = left.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(i))).alias("centre"), F.min_by("root", F.xxhash64("node", F.lit(i))).alias("its"))
-        links = materialize(links.unionByName(held("centre", left.join(centre, "bucket").filter("root != its"))), "links")
+        centre = left.filter("root != main").groupBy("bucket").agg(F.max_by("node", "mass").alias("centre"), F.max_by("root", "mass").alias("its"))
+        links = materialize(links.unionByName(held(left.join(centre, "bucket").filter("root != its"))), "links")
         groups = components(links)
         left = _undecided(buckets, groups)
     if not left.isEmpty():
-        other = left.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-        rest = held("node2", left.join(other, "bucket").filter("node > node2 and root != root2"))
+        rest = materialize(tiles(left, shingles, of_node.select("node", "buckets"), percent), "links")
         groups = components(materialize(links.unionByName(rest), "links"))
 
     labels = nodes.join(groups, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("root"))
@@ -183,10 +190,69 @@ def _same_ids(named: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _undecided(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of buckets whose nodes are in more than one group: bucket, node, n, root."""
-    rooted = buckets.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("bucket")
-    return materialize(rooted.join(mixed, "bucket", "left_semi"), "undecided")
+    """Rows of buckets whose nodes are in more than one group: bucket, node, n, mass, root, main (the
+    group with most shingles there), and the shingles of the bucket's nodes and of its outsiders."""
+    rooted = buckets.join(groups, "node", "left").select("bucket", "node", "n", "mass", F.coalesce("root", "node").alias("root"))
+    sums = rooted.groupBy("bucket", "root").agg(F.sum("n").alias("part"))
+    mixed = sums.groupBy("bucket").agg(F.max_by("root", "part").alias("main"), F.sum("part").alias("whole"), (F.sum("part") - F.max("part")).alias("outside")).filter("outside > 0")
+    return materialize(rooted.join(mixed, "bucket"), "undecided")
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and where each row's end."""
+    own = column.combine_chunks()
+    own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+    return own.flatten().to_numpy(zero_copy_only=False), np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def _count_in(values: np.ndarray, ends: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many of each row's values are in own (sorted, not empty)."""
+    found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    sums = np.concatenate([[0], np.cumsum(found)])
+    return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+
+
+def tiles(left: DataFrame, sets: DataFrame, of_node: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the outsiders of each bucket with all its nodes."""
+    full = left.join(sets.withColumnRenamed("doc_id", "node"), "node").join(of_node, "node")
+    full = full.withColumn("across", F.ceil(F.col("outside") / TILE[0]).cast("int")).withColumn("down", F.ceil(F.col("whole") / TILE[1]).cast("int"))
+    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["bucket", "node", "n", "root", "main", "shingles", "buckets"]
+    out = full.filter("root != main").select(*names, block(1, "across").alias("x"), steps("down").alias("y"))
+    all_ = full.select(*names, steps("across").alias("x"), block(2, "down").alias("y"))
+
+    def run(outsiders: pa.Table, members: pa.Table) -> pa.Table:
+        a: list[int] = []
+        b: list[np.ndarray] = []
+        if len(outsiders) and len(members):
+            node, root, main = (members.column(c).to_numpy() for c in ("node", "root", "main"))
+            values, ends = _flat(members.column("shingles"))
+            seen, seen_ends = _flat(members.column("buckets"))
+            size = np.diff(ends, prepend=0)
+            here = members.column("bucket")[0].as_py()
+            values_of, ends_of = _flat(outsiders.column("shingles"))
+            seen_of, seen_ends_of = _flat(outsiders.column("buckets"))
+            for i, (me, mine) in enumerate(zip(outsiders.column("node").to_pylist(), outsiders.column("root").to_pylist(), strict=True)):
+                own = np.sort(values_of[ends_of[i - 1] if i else 0 : ends_of[i]])
+                before = seen_of[seen_ends_of[i - 1] if i else 0 : seen_ends_of[i]]
+                before = np.sort(before[before < here])
+                ask = (root != mine) & ((root == main) | (node > me))  # two outsiders meet once
+                ask &= np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * percent
+                if len(before):
+                    ask &= _count_in(seen, seen_ends, before) == 0
+                rows = np.flatnonzero(ask)
+                if len(rows):
+                    at = np.repeat(ends[rows] - np.cumsum(size[rows]), size[rows]) + np.arange(size[rows].sum())
+                    both = _count_in(values[at], np.cumsum(size[rows]), own)
+                    good = rows[both * 100 >= (size[rows] + len(own) - both) * percent]
+                    a += [me] * len(good)
+                    b.append(node[good])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
+
+    keys = ("bucket", "x", "y")
+    out, all_ = (df.toDF(*df.columns) for df in (out, all_))  # columns of their own, as both come from `full`
+    return out.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInArrow(run, "a bigint, b bigint")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -58,10 +58,12 @@ def test_like_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_exhaustive_when_centres_do_not_settle(spark, monkeypatch):
+@pytest.mark.parametrize("tile", [(1 << 17, 1 << 19), (300, 900)])
+def test_tiles_when_centres_do_not_settle(spark, monkeypatch, tile):
     monkeypatch.setattr(minhash, "CENTRES", 1)
+    monkeypatch.setattr(minhash, "TILE", tile)
     rnd = random.Random(9)
-    rows = list(enumerate(family(rnd, 40, 120, 6)))
+    rows = list(enumerate([*family(rnd, 40, 120, 6), *family(rnd, 25, 60, 4)]))
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=2)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 2)
 
