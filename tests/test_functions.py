@@ -122,3 +122,26 @@ def test_inputs_and_sinks(spark, tmp_path):
     cited = spark.createDataFrame([("o", 0, "u2"), ("o", 1, "u1"), ("o", 2, "u2"), ("q", 0, "zz")], "org string, pos int, url string")
     hits = spark.createDataFrame([("o", 1, "u1", "t"), ("o", 2, "u2", "t")], "org string, pos int, url string, title string")
     assert sorted((r.org, r.at, r.url) for r in inputs.cited_sources(cited, hits).collect()) == [("o", 0, "u2"), ("o", 1, "u1"), ("q", 0, "")]
+
+
+def test_status(spark):
+    from noticeflow.functions import status
+
+    assert many(spark, status.page_state, ["OK", " status is 'ok'", "please login", "blank", None]) == ["ok", "ok", "need_login", "unknown", "unknown"]
+    assert many(spark, status.is_safe, ["safe", "This is UNSAFE", None]) == [True, False, True]
+    assert many(spark, status.frame_url, ["见 https://a.b/c?d=1 页面", "none", None]) == ["https://a.b/c?d=1", "", ""]
+    yes, no = F.lit(True), F.lit(False)
+    assert [one(spark, status.login_action(*x)) for x in ((yes, yes, F.lit("ok")), (yes, no, F.lit("ok")), (no, no, F.lit("ok")), (no, yes, F.lit("need_login")))] == ["login", "skip", "open", "skip"]
+    ask = lambda url, need, user, a, b: one(spark, status.request_error(F.lit(url), F.lit(need), F.lit(user), F.lit("p"), F.lit(a), F.lit(b)))
+    assert ask("http://a.b", True, "u", "2026-01-01", "2026-01-02") is None
+    assert [bool(ask(*x)) for x in (("ftp://a", False, "", "", ""), ("http://a.b", True, " ", "", ""), ("http://a.b", False, "", "2", "1"))] == [True, True, True]
+
+
+def test_answers(spark):
+    from noticeflow.functions import answers
+
+    assert answers.unescape_outside_strings('{\\n"a\\n": "b\\t"}') == '{\n"a\\n": "b\\t"}'
+    assert many(spark, answers.object_udf, ['done ```json\n{"a": {"b": 1}}\n```', '{\\"a\\": 1}', "[1]", None, '{"a": 1,}']) == ['{"a": {"b": 1}}', '{"a": 1}', None, None, '{"a": 1}']
+    assert many(spark, answers.list_udf, ['x [{"a": 1}, {"a": 2}] y', "{}"]) == ['[{"a": 1}, {"a": 2}]', None]
+    assert len(answers.webhook_signature("s", 1)) == 44
+    assert answers.example({"properties": {"a": {"$ref": "#/defs/x"}, "b": {"type": "array", "items": {"type": "string"}}, "c": {"anyOf": [{"type": "number"}]}}, "defs": {"x": {"enum": ["p", "q"]}}}) == {"a": "p", "b": [""], "c": 0}
