@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import chunks, columns, gram_hashes, materialize, split_words
 
 MIN_WORDS, GRAM = 50, 16
-_PLACE = np.uint64((1 << 24) - 1)
+#: Bits of a minimiser's key that hold its place; more only where a chunk has more words than that.
+PLACE_BITS = 24
 
 
 def minimisers(hashes: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,17 +45,16 @@ def minimisers(hashes: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS
     runs = len(hashes) - min_words + 1
     if runs < 1:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if len(hashes) > int(_PLACE):
-        raise ValueError("a text has more than 2**24 words")
+    places = np.uint64((1 << max(PLACE_BITS, len(hashes).bit_length())) - 1)
     at = np.arange(len(hashes) - gram + 1)
     grams = gram_hashes(hashes, at, at + gram)
-    least = grams & ~_PLACE | at.astype(np.uint64)
+    least = grams & ~places | at.astype(np.uint64)
     width, over = min_words - gram + 1, 1
     while 2 * over <= width:
         least = np.minimum(least[:-over], least[over:])
         over *= 2
     least = np.minimum(least[:runs], least[width - over : width - over + runs])
-    place = (least & _PLACE).astype(np.int64)
+    place = (least & places).astype(np.int64)
     ends = np.repeat(first[1:], np.diff(first))
     inside = np.flatnonzero(np.arange(runs) + min_words <= ends[:runs])
     place = place[inside]

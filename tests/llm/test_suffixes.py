@@ -73,6 +73,13 @@ def test_minimisers_cover_every_run():
     assert (place >= lo + n - 1).all() and (place <= lo + 34).all()
 
 
+def test_places_grow_with_the_text(monkeypatch):
+    h = np.random.default_rng(2).integers(0, 2**60, 3000).astype(np.uint64)
+    want = suffixes.minimisers(h, np.array([0, 3000]))
+    monkeypatch.setattr(suffixes, "PLACE_BITS", 1)
+    assert all((a == b).all() for a, b in zip(want, suffixes.minimisers(h, np.array([0, 3000])), strict=True))
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     spans = suffixes.repeats(docs).collect()
