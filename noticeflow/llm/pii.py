@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,6 +119,16 @@ def context_score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, _SCORES[kind] + 0.2 * bool(near & _FOR[kind]) - 0.2 * bool(near & _AGAINST[kind])))
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start; code points, end exclusive."""
     out = []
@@ -125,11 +136,17 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     for kind in BASE:
         if "@" in text if kind == "email" else digit and (kind != "phone" or "+" in text):
             out += [(kind, s, e, context_score(text, kind, s, e)) for s, e in _FIND[kind](text)]
-    taken = sorted((s, e) for _, s, e, _ in out)
+    taken = _merged((s, e) for _, s, e, _ in out)
+    starts = [s for s, _ in taken]
+
+    def free(s: int, e: int) -> bool:
+        i = bisect_left(starts, e)  # the last span that starts before e
+        return i == 0 or taken[i - 1][1] <= s
+
     for kind in KINDS[len(BASE) :]:
         if "AKIA" in text if kind == "key" else digit:
             for s, e in _FIND[kind](text):
-                if all(e <= a or b <= s for a, b in taken) and (score := context_score(text, kind, s, e)) >= THRESHOLD:
+                if free(s, e) and (score := context_score(text, kind, s, e)) >= THRESHOLD:
                     out.append((kind, s, e, score))
     return out
 

@@ -55,8 +55,17 @@ def test_validators_and_context():
     assert pii.redacted("mail a@b.co or +1 (389) 555-5010!") == "mail [EMAIL] or [PHONE]!"
 
 
+def test_added_spans_keep_off_base_spans():
+    text = "SSN 123-45-6789, card 4111 1111 1111 1111, call 415 555 2671 or +1 415 555 2671"
+    found = pii.find(text)
+    taken = [(s, e) for k, s, e, _ in found if k in pii.BASE]
+    added = [(k, s, e) for k, s, e, _ in found if k not in pii.BASE]
+    assert [k for k, *_ in added] == ["ssn", "tel"]
+    assert all(e <= a or b <= s for _, s, e in added for a, b in taken)
+
+
 def test_long_runs_take_linear_time():
-    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "A1" * 100_000, "9-" * 100_000):
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "a@" * 100_000, "A1" * 100_000, "9-" * 100_000, "SSN 123-45-6789 +1 415 555 2671, " * 5000):
         pii.find(text)
 
 
