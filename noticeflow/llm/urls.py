@@ -9,9 +9,10 @@ labelled pages) and MIN_CONFIDENCE; one that a shorter rule with no less confide
 dropped. Rules are matched by inverted index: tokens of a url -> rules that hold this token (the
 rarest of the rule) -> all of the rule's tokens present. A url that any rule fits is blocked.
 
-What is mined is bounded: at most 1 / MIN_SUPPORT times the tokens of the longest url are frequent
-alone, and rules have at most MAX_TOKENS tokens. If more than MAX_RULES are left, matching joins the
-rules by their rarest token instead of sending them along.
+Rules have any number of tokens. At most 1 / MIN_SUPPORT times the tokens of the longest url are
+frequent alone; combinations of them grow with the tokens that urls share. The rules left are sent
+along with the matching if their tokens take no more bytes than MAX_RULES rules of MAX_TOKENS tokens
+of TOKEN_BYTES would; else matching joins them by their rarest token.
 
 Defined results: a null url or one without `://` has empty host and path, no rule and no tokens: it
 is allowed. Without labels nothing is mined. Rows that repeat give repeated results; a null page_id
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import columns, materialize
 
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, MAX_RULES = 0.002, 0.8, 3, 50_000
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
+#: The size of an index that is broadcast; no rule is left out for its length or their number.
+MAX_RULES, MAX_TOKENS, TOKEN_BYTES = 50_000, 3, 64
 BAD = "label:bad"
 
 #: (verdict, host, path), as the contract fixes them.
@@ -68,10 +71,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if baskets.isEmpty():
         return labelled.sparkSession.createDataFrame([], "rule array<string>, support double, confidence double")
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = found.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MAX_TOKENS))
+    rules = found.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     rules = rules.select(F.array_sort("antecedent").alias("rule"), "support", "confidence")
     rules = materialize(rules, "rules")
-    short = rules.select(F.col("rule").alias("part"), F.col("confidence").alias("c"), F.explode("rule").alias("token"))
+    short = rules.select(F.col("rule").alias("part"), F.col("confidence").alias("c"), F.element_at("rule", -1).alias("token"))  # one token finds all that hold it
     longer = rules.filter(F.size("rule") > 1).select("rule", "confidence", F.explode("rule").alias("token"))
     covered = longer.join(short, "token").filter((F.size("part") < F.size("rule")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "rule")) == 0)).select("rule").distinct()
     return materialize(rules.join(covered, "rule", "left_anti"), "rules")
@@ -89,7 +92,8 @@ def blocked_by(pages: DataFrame, rules: DataFrame, labelled: DataFrame) -> DataF
     if it is small; otherwise urls, each once, go to the index."""
     index = materialize(_index(rules, labelled), "index")
     fits = F.size(F.array_except("rule", "tokens")) == 0
-    if index.count() <= MAX_RULES:  # of MAX_TOKENS tokens each, so the bytes are bounded too
+    size = index.agg(F.sum(F.octet_length(F.array_join("rule", " ")))).first()[0] or 0
+    if size <= MAX_RULES * MAX_TOKENS * TOKEN_BYTES:
         index = F.broadcast(index)
     urls = pages.select("url", "tokens").filter(F.size("tokens") > 0).distinct()
     hits = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").filter(fits)

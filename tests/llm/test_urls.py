@@ -68,6 +68,38 @@ def test_mined_rules_like_counting(spark):
     assert {r.page_id: r.verdict for r in out} == {i: "allow" if q else "block" for i, _, q, _ in rows}
 
 
+def long_rules():
+    """A page is bad if all of a rule's four or five path parts are there; any fewer are bad at most half the time."""
+    rows = []
+    for rule in ("abcd", "efghi"):
+        for n in range(len(rule) + 1):
+            for parts in itertools.combinations(rule, n):
+                rows += [(f"http://x.edu/{'/'.join(parts)}", n < len(rule))] * 10
+    return [(i, url, int(good)) for i, (url, good) in enumerate(rows)]
+
+
+def test_rules_of_any_length(spark, monkeypatch):
+    rows = long_rules()
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, q, None) for i, _, q in rows], "doc_id bigint, quality int, toxic int")
+    seen, bad = Counter(), Counter()
+    for _, url, q in rows:
+        tokens = sorted({"h:x", "h:edu"} | {"p:" + c for c in url.split("/")[3:] if c})
+        for n in range(1, len(tokens) + 1):
+            for combo in itertools.combinations(tokens, n):
+                seen[combo] += 1
+                bad[combo] += not q
+    good = {c: bad[c] / n for c, n in seen.items() if bad[c] >= 10 and bad[c] >= urls.MIN_CONFIDENCE * n}
+    want = {c for c, x in good.items() if not any(set(d) < set(c) and y >= x for d, y in good.items())}
+    assert want == {("p:a", "p:b", "p:c", "p:d"), ("p:e", "p:f", "p:g", "p:h", "p:i")}
+    with_tokens = pages.withColumn("tokens", urls.tokens(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url"))))
+    labelled = with_tokens.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select("tokens", (F.col("quality") == 0).alias("bad"))
+    assert {tuple(r.rule) for r in urls.mine(labelled).collect()} == want
+    for most in (urls.MAX_RULES, 0):  # sent along and joined
+        monkeypatch.setattr(urls, "MAX_RULES", most)
+        assert {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()} == {i: "allow" if q else "block" for i, _, q in rows}
+
+
 def test_many_rules_are_joined(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_RULES", 0)
     test_mined_rules_like_counting(spark)
