@@ -4,30 +4,34 @@ Fixed rules (host, path) come first: a rule fits its host and all subdomains if
 with the rule's; the longest one decides. Other urls are judged by rules mined from labels: Spark's
 FP-growth finds combinations of url tokens that go with bad pages. Tokens say where they stand:
 `h:` labels of the host and its registered-name pairs, `p:` parts of the path without numbers, `q:`
-names of query parameters. A mined rule holds if its support and confidence reach MIN_SUPPORT (of all
-labelled pages) and MIN_CONFIDENCE; one that a shorter rule with no less confidence already covers is
+names of query parameters. A mined rule holds if at least MIN_BAD labelled pages that it fits are bad,
+however many are labelled, and its confidence reaches MIN_CONFIDENCE; one that a shorter rule with no less confidence already covers is
 dropped. Rules are matched by inverted index: tokens of a url -> rules that hold this token (the
 rarest of the rule) -> all of the rule's tokens present. A url that any rule fits is blocked.
 
-Rules have any number of tokens. At most 1 / MIN_SUPPORT times the tokens of the longest url are
-frequent alone; combinations of them grow with the tokens that urls share. The rules left are sent
+Rules have any number of tokens. Tokens are frequent alone if MIN_BAD labelled pages have them, so
+their number (FP-growth ranks them on the driver) grows with the labelled pages' vocabulary, and
+combinations of them with the tokens that urls share. The rules left are sent
 along with the matching if their tokens take no more bytes than MAX_RULES rules of MAX_TOKENS tokens
 of TOKEN_BYTES would; else matching joins them by their rarest token.
 
 Defined results: a null url or one without `://` has empty host and path, no rule and no tokens: it
-is allowed. Without labels nothing is mined. Rows that repeat give repeated results; a null page_id
+is allowed. Without labels nothing is mined. Labels are of documents; a label counts for the page whose
+page_id equals its doc_id, and one without such a page for nothing. Rows that repeat give repeated results; a null page_id
 stays null and counts for nothing in mining.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, materialize
 
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
+MIN_BAD, MIN_CONFIDENCE = 5, 0.8
 #: The size of an index that is broadcast; no rule is left out for its length or their number.
 MAX_RULES, MAX_TOKENS, TOKEN_BYTES = 50_000, 3, 64
 BAD = "label:bad"
@@ -65,12 +69,15 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(tag("h:", labels), pairs, tag("p:", parts), tag("q:", names))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled: tokens and bad (boolean). Rules: rule (sorted tokens), support, confidence."""
+def mine(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE, min_bad: int = MIN_BAD) -> DataFrame:
+    """labelled: tokens and bad (boolean). Rules: rule (sorted tokens), support, confidence. A rule
+    rests on min_bad bad pages at least, and on a share min_support of the pages."""
     baskets = materialize(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0), "baskets")
-    if baskets.isEmpty():
+    n = baskets.count()
+    least = max(min_bad, ceil(min_support * n))
+    if n < least or not n:
         return labelled.sparkSession.createDataFrame([], "rule array<string>, support double, confidence double")
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(baskets)
     rules = found.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     rules = rules.select(F.array_sort("antecedent").alias("rule"), "support", "confidence")
     rules = materialize(rules, "rules")

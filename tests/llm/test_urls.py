@@ -100,6 +100,13 @@ def test_rules_of_any_length(spark, monkeypatch):
         assert {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()} == {i: "allow" if q else "block" for i, _, q in rows}
 
 
+def test_a_rule_rests_on_a_number_of_bad_pages(spark):
+    for others in (0, 3, 90, 5000):  # however many pages are labelled
+        rows = [(["h:five"], True)] * 5 + [(["h:four"], True)] * 4 + [(["h:mostly"], i < 5) for i in range(6)] + [(["h:good"], False)] * others
+        rules = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+        assert {(*r.rule, round(r.confidence, 3)) for r in rules} == {("h:five", 1.0), ("h:mostly", 0.833)}
+
+
 def test_many_rules_are_joined(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_RULES", 0)
     test_mined_rules_like_counting(spark)
