@@ -3,7 +3,8 @@
 STAGES are applied in order, each to all that the one before has kept, with a Parquet table in
 between. All but the last return the columns of documents:
 
-language    documents without letters, or mostly in scripts of no learned language, go
+language    documents without letters, mostly in scripts of no learned language, or with words too
+            unlikely in the learned languages, go
 near_dup    of each group of near-duplicates (five-word shingles, similarity of 0.8) one stays
 repeats     passages of 50 words and more that stood before are cut out of later texts; a text of
             which nothing is left goes

@@ -13,6 +13,11 @@ one in any stretch of words, no switch can pay, and the text is one span.
 The prediction is the language with most letters in its spans (ties: the first by name) and the
 score its share of all letters, those of scripts that no language uses included.
 
+Whether a text is in a learned language at all is a matter of its words' log-likelihoods, each in the
+language of its span. On a scale from the average n-gram of that language's training texts (0) to
+one that they don't have (1), a text whose n-grams average beyond FAR + SHORT / n-grams is foreign; a
+language with fewer training n-grams than the smoothing adds can't tell and finds nothing foreign.
+
 Defined results: a text that is null, empty or without letters is `und` with score 0 and no spans;
 so is every text if there is nothing to learn from. A null id stays null and isn't held out. Repeated
 rows give repeated results.
@@ -35,6 +40,8 @@ from .common import HashIndex, chunks, mix, split_words
 
 TRAIN_DOCS, ORDER, BUCKETS, SMOOTHING, TEMPER, PENALTY = 2000, 4, 1 << 16, 0.5, 0.4, 12.0
 UNKNOWN = "und"
+#: How far from its training texts a text of a language may be; what a text of few n-grams may add.
+FAR, SHORT = 0.3, 10.0
 #: Share of a language's letters from which on a script counts as its own.
 SCRIPT_SHARE = 0.01
 #: Words that a worker keeps the scores of.
@@ -102,9 +109,12 @@ class Model:
     languages: list[str]  #: in order of name
     logs: np.ndarray  #: (BUCKETS + 1) x languages, float32; the last row is 0
     uses: np.ndarray  #: scripts x languages, bool
+    usual: np.ndarray  #: the average log-likelihood of an n-gram in each language's training texts
+    rare: np.ndarray  #: that of an n-gram they don't have; the same as `usual` if they are too few to tell
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores (words x languages), letters, and whether any language uses the word's script."""
+    def scores(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Scores (words x languages), letters, whether any language uses the word's script, and for
+        words of such scripts the best language's log-likelihood and the number of n-grams."""
         own = letters_of(words)
         letters = np.array([len(w) for w in own], np.int32)
         script = np.array([script_of(w) for w in own], np.int64)
@@ -118,7 +128,9 @@ class Model:
         best = np.where(uses, total, -np.inf).max(axis=1, initial=-np.inf)
         total = np.where(uses, total - np.where(known, best, 0)[:, None], -2 * PENALTY)
         total[~known] = 0
-        return np.maximum(total, -2 * PENALTY).astype(np.float32), letters, known
+        fit = np.where(known, best / TEMPER, 0).astype(np.float32)
+        n = np.where(known & (letters > 0), np.add.reduceat((grams < BUCKETS).sum(axis=0), first), 0).astype(np.int32)
+        return np.maximum(total, -2 * PENALTY).astype(np.float32), letters, known, fit, n
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
@@ -127,7 +139,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros(0), np.zeros(0))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))))
     chosen = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
 
@@ -154,7 +166,10 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     grams = table[:BUCKETS] + SMOOTHING
     logs = np.vstack([np.log(grams / grams.sum(axis=0)), np.zeros(len(languages))])
     scripts = table[BUCKETS + 1 :]
-    return Model(languages, logs.astype(np.float32), scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)))
+    seen = table[:BUCKETS].sum(axis=0)
+    rare = np.log(SMOOTHING / grams.sum(axis=0))
+    usual = np.where(seen < SMOOTHING * BUCKETS, rare, (table[:BUCKETS] * logs[:BUCKETS]).sum(axis=0) / np.maximum(seen, 1))
+    return Model(languages, logs.astype(np.float32), scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(axis=0)), usual, rare)
 
 
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> list[int]:
@@ -184,9 +199,9 @@ class Labeller:
 
     def _reset(self) -> None:
         self.index.clear()
-        self.table, self.letters, self.known = [np.zeros((0, len(self.model.languages)), np.float32)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+        self.held = [np.zeros((0, len(self.model.languages)), np.float32), *(np.zeros(0, kind) for kind in (np.int32, bool, np.float32, np.int32))]
 
-    def words(self, w, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, w, hashes: np.ndarray) -> list[np.ndarray]:
         if self.index.n > CACHE_WORDS:
             self._reset()
         rows = self.index.find(hashes)
@@ -199,19 +214,20 @@ class Labeller:
                 return self.words(w, hashes)
             take, raw = missing[first], w.data.tobytes()
             new = self.model.scores([raw[s:e].decode() for s, e in zip(w.starts[take].tolist(), w.ends[take].tolist(), strict=True)])
-            for held, x in zip((self.table, self.letters, self.known), new, strict=True):
-                held[:] = [np.concatenate([held[0], x])]
+            self.held = [np.concatenate([held, x]) for held, x in zip(self.held, new, strict=True)]
             rows[missing] = np.array([self.index.put(k) for k in keys.tolist()], np.int32)[which]
-        return self.table[0][rows], self.letters[0][rows], self.known[0][rows]
+        return [held[rows] for held in self.held]
 
-    def spans(self, texts: pa.Array) -> Iterator[list[tuple[str, int, int, int, int]]]:
-        """Of each text: (language, start, end (bytes), letters, known letters) of each span."""
+    def spans(self, texts: pa.Array) -> Iterator[list[tuple]]:
+        """Of each text: (language, start, end (bytes), letters, known letters, n-grams, how far
+        their log-likelihood is below the language's usual one, and how far it would be if none of
+        them were in its training texts) of each span."""
         w = split_words(texts)
         n = len(w.first) - 1
         if not self.model.languages or not len(w.starts):
             yield from ([] for _ in range(n))
             return
-        scores, letters, known = self.words(w, np.maximum(w.hashes(), np.uint64(1)))
+        scores, letters, known, fit, grams = self.words(w, np.maximum(w.hashes(), np.uint64(1)))
         doc, count = w.doc(), np.diff(w.first)
         some = np.flatnonzero(count)
         at = w.first[some]
@@ -226,7 +242,15 @@ class Labeller:
             down = -4.0 * PENALTY * (len(doc) + 1) * np.arange(n)[doc]  # keeps texts apart
             low = np.minimum.accumulate(before + down)
             mixed[some] |= np.maximum.reduceat(gain + down - low, at) >= PENALTY / 2
-        sum_letters, sum_known = (np.concatenate([[0], np.cumsum(x)]) for x in (letters, letters * known))
+        sum_letters, sum_known, sum_grams, sum_fit = (np.concatenate([[0], np.cumsum(x)]) for x in (letters, letters * known, grams, fit.astype(np.float64)))
+        usual, room = self.model.usual.tolist(), (self.model.usual - self.model.rare).tolist()
+
+        def span(k: int, s: int, e: int, zero: int) -> tuple:
+            n = int(sum_grams[e] - sum_grams[s])
+            here = float(sum_fit[e] - sum_fit[s]) + float(scores[s:e, k].sum(dtype=np.float64)) / TEMPER
+            below = (n * usual[k] - here, n * room[k]) if room[k] else (0.0, 0.0)
+            return self.model.languages[k], int(w.starts[s]) - zero, int(w.ends[e - 1]) - zero, int(sum_letters[e] - sum_letters[s]), int(sum_known[e] - sum_known[s]), n, *below
+
         for i in range(n):
             a, b = int(w.first[i]), int(w.first[i + 1])
             if a == b:
@@ -239,16 +263,16 @@ class Labeller:
             else:
                 parts = [(int(best[i]), a, b)]
             zero = int(w.offsets[i])
-            yield [(self.model.languages[k], int(w.starts[s]) - zero, int(w.ends[e - 1]) - zero, int(sum_letters[e] - sum_letters[s]), int(sum_known[e] - sum_known[s])) for k, s, e in parts]
+            yield [span(k, s, e, zero) for k, s, e in parts]
 
 
-def verdict(spans: list[tuple[str, int, int, int, int]]) -> tuple[str, float, float]:
+def verdict(spans: list[tuple]) -> tuple[str, float, float]:
     """The predicted language, its share of all letters, and the share of letters in known scripts."""
     total = sum(x[3] for x in spans)
     if not total:
         return UNKNOWN, 0.0, 0.0
     by: dict[str, list[int]] = {}
-    for lang, _, _, letters, known in spans:
+    for lang, _, _, letters, known, *_ in spans:
         own = by.setdefault(lang, [0, 0])
         own[0] += letters
         own[1] += known
@@ -256,6 +280,12 @@ def verdict(spans: list[tuple[str, int, int, int, int]]) -> tuple[str, float, fl
     return lang, by[lang][1] / total, sum(x[1] for x in by.values()) / total
 
 
+def foreign(spans: list[tuple]) -> bool:
+    """Whether the words are too unlikely to be of the languages they are labelled with."""
+    n, below, room = (sum(x[i] for x in spans) for i in (5, 6, 7))
+    return n > 0 and below > (FAR + SHORT / n) * room
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with all rows, and the columns lang_pred, score, known (the share of letters in scripts
     of learned languages) and spans (array of language, start, end: bytes of the text)."""
@@ -294,14 +324,15 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def in_known_languages(docs: DataFrame, **names) -> DataFrame:
     """The rows of docs, with their columns, that are in a learned language: those without letters,
-    or with less than half of them in scripts of learned languages, are rejected."""
+    with less than half of them in scripts of learned languages, or foreign by their words' scores
+    are rejected."""
     model, text_col = train_on(docs, **names), names.get("text_col", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
             for part in chunks(batch, text_col):
-                found = [verdict(x) for x in labeller.spans(part.column(text_col))]
-                yield part.filter(pa.array([lang != UNKNOWN and known >= 0.5 for lang, _, known in found], pa.bool_()))
+                found = [(*verdict(x), foreign(x)) for x in labeller.spans(part.column(text_col))]
+                yield part.filter(pa.array([lang != UNKNOWN and known >= 0.5 and not far for lang, _, known, far in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -82,6 +82,22 @@ def test_awkward_rows(spark):
     assert {r.lang_pred for r in langid.predict(unlabelled).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rnd = random.Random(8)
+    letters = "bcdfghjklmnpqrstvwxz"
+    foreign = [
+        "Komisja postanowiła przełożyć posiedzenie, ponieważ wielu członków nie mogło być obecnych tego dnia z powodu strajku kolejarzy",
+        "Komisyon toplantıyı ertelemeye karar verdi çünkü birçok üye o gün tren grevi nedeniyle hazır bulunamadı ve yeni tarih belli değil",
+        " ".join("".join(rnd.choices(letters, k=rnd.randint(3, 9))) for _ in range(40)),
+    ]
+    mixed = " ".join(r.text[:300] for r in docs.orderBy("doc_id").limit(6).collect())  # of learned languages
+    rows = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate([*foreign, mixed])]
+    out = langid.in_known_languages(docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")))
+    ids = [r.doc_id for r in out.collect()]
+    assert sorted(i for i in ids if i >= 10**9) == [10**9 + 3] and len(ids) == docs.count() + 1  # labelled documents stay
+
+
 def test_query_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
