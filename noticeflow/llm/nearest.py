@@ -1,11 +1,12 @@
 """Operator 4: nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt into blocks by hash of their id. Each pair of a query block and a
-candidate block is a tile, one group of a co-grouped join; a tile's size is bounded by the block
+Queries and candidates are dealt, for each length of vector, into blocks by hash of their id. Each
+pair of a query block and a candidate block of one length is a tile, one group of a co-grouped join; a tile's size is bounded by the block
 sizes, whatever the table's size, and one id in many rows is spread by hash of its row. In a tile:
 
 - vectors are quantised to int8, each with its own scale, and the tile's products come from one
-  matrix product of whole numbers (exact in float32, as 127 * 127 * dimensions stays below 2**24);
+  matrix product of whole numbers (exact in float32 as long as 127 * 127 * dimensions stays below
+  2**24, in float64 beyond);
 - with |x - s q| known for each vector, a product is off by at most
   |x| err(y) + err(x) |s q|(y); so each pair has a lower and an upper bound;
 - a pair whose upper bound is below the k-th best lower bound of its query can't be among its k
@@ -16,9 +17,8 @@ Tiles' lists are merged by a ranking that keeps k rows per query on either side
 candidates are compared, so the result is exact: recall is 1.
 
 Defined results: vectors that are null, empty, zero, or hold a null, a NaN or an infinity take no
-part, neither do rows without an id or vectors whose length isn't the table's most frequent one
-(the longest of these on a tie). Ties go to the smaller vec_id. Candidates are all rows whose id is
-not the query's own; rows that repeat an id and vector are one row.
+part, neither do rows without an id. A query's candidates are the vectors of its own length. Ties go to the smaller vec_id. Candidates have an id
+that is not the query's own; rows that repeat an id and vector are one row.
 """
 
 from __future__ import annotations
@@ -55,11 +55,10 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query its k nearest in the tile: (score, id), best first."""
-    if queries.shape[1] > 1000:
-        raise ValueError("products of int8 vectors of more than 1000 dimensions aren't exact in float32")
+    exact = np.float32 if queries.shape[1] <= 1000 else np.float64
     qa, sa, ea, na = quantise(queries)
     qb, sb, eb, nb = quantise(vectors)
-    whole = qa.astype(np.float32) @ qb.astype(np.float32).T
+    whole = qa.astype(exact) @ qb.astype(exact).T
     about = whole.astype(np.float64) * sa[:, None] * sb[None, :]
     # x.y - kx.ky = x.(y - ky) + (x - kx).ky; and a little for rounding
     most = (na + ea)[:, None] * eb[None, :] + ea[:, None] * nb[None, :]
@@ -91,16 +90,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usable = usable.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).filter(~bad & F.exists("vector", lambda x: x != 0)).distinct()
     usable = materialize(usable, "vectors")
-    sizes = usable.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"), F.count_if("asks").alias("queries"))
-    size = sizes.orderBy(F.col("rows").desc(), F.col("n").desc()).first()
     schema = "query_id bigint, vec_id bigint, score double"
-    if size is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    own = usable.filter(F.size("vector") == size.n)
-    n_query, n_candidate = (max(1, -(-n // b)) for n, b in ((size.queries, query_block), (size.rows, candidate_block)))
-    block = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
-    asked = own.filter("asks").select("id", "vector", block(n_query).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_candidate - 1))).alias("c"))
-    held = own.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("q"), block(n_candidate).alias("c"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    sizes = usable.groupBy(F.size("vector").alias("n")).agg(blocks(F.count("*"), candidate_block).alias("n_candidate"), blocks(F.count_if("asks"), query_block).alias("n_query")).filter("n_query > 0")
+    own = usable.withColumn("n", F.size("vector")).join(F.broadcast(sizes), "n")
+    block = lambda n: F.pmod(F.xxhash64("id", "vector"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = own.filter("asks").select("n", "id", "vector", block("n_query").alias("q"), each("n_candidate").alias("c"))
+    held = own.select("n", "id", "vector", each("n_query").alias("q"), block("n_candidate").alias("c"))
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -111,7 +108,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
                 out[2] += [s for s, _ in best]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    tiles = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(run, schema)
+    asked, held = (df.toDF(*df.columns) for df in (asked, held))  # columns of their own, as both come from `own`
+    tiles = asked.groupBy("n", "q", "c").cogroup(held.groupBy("n", "q", "c")).applyInArrow(run, schema)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return tiles.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

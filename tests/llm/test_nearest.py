@@ -52,6 +52,14 @@ def test_awkward_rows(spark):
     assert run(spark, rows[:0]) == []
 
 
+def test_each_length_is_searched(spark):
+    rnd = np.random.default_rng(5)
+    by_length = {n: [(int(i), rnd.normal(size=n).tolist()) for i in range(at, at + count)] for n, at, count in ((24, 0, 200), (7, 200, 130), (1200, 340, 41), (3, 400, 1))}
+    rows = [r for own in by_length.values() for r in own]
+    want = sorted(x for own in by_length.values() for x in brute(own))
+    assert {r[0] for r in want} >= {0, 200, 320, 340, 380} and run(spark, rows, query_block=5, candidate_block=37) == want
+
+
 def test_query_like_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     got = sorted(tuple(r) for r in queries.op4_nearest(spark, sf).collect())
