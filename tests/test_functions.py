@@ -55,6 +55,12 @@ def test_lots(spark):
     assert [(r.lotNumber, r.type, r.candidates, r.candidatePrices) for r in rows] == [("标段一", "中标候选人", "A", 1.0), ("标段一", "中标候选人", "B", 2.0), ("标段一", "", "A", 5.0), ("标段一", "", "B", 5.0), ("标段三", "", "", None), ("标段一", "中标", "W", 9.0)]
 
 
+def test_one_valid_price_holds_for_all_candidates(spark):
+    raw = [{"lotNumber": "1", "candidates": "A,B", "candidatePrices": "7,x,y"}, {"lotNumber": "2", "candidates": "A,B,C", "candidatePrices": "7,8,x"}]
+    rows = one(spark, lots.candidates(F.from_json(F.lit(json.dumps(raw)), lots.RAW_CANDIDATES)))
+    assert [(r.candidates, r.candidatePrices) for r in rows] == [("A", 7.0), ("B", 7.0), ("A", 7.0), ("B", 8.0), ("C", None)]
+
+
 def test_addresses(spark):
     found = {f: one(spark, c) for f, c in address.parse_detail(F.lit("浙江省杭州市西湖区文三路1号")).items()}
     assert found == {"country": "中国", "province": "浙江省", "city": "杭州市", "district": "西湖区"}
