@@ -45,6 +45,26 @@ def test_stages_like_brute_force(spark):
     check_packing(fourth, corpus_pipeline.run(spark, SF).collect(), 2048)
 
 
+def test_null_and_repeated_ids_are_grouped_by_text(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    copy, near, shared = words("a", 80), words("b", 300), words("s", 60)
+    rows = [(None, copy)] * 3 + [(5, copy)] * 2  # exact copies: 5 is the first
+    rows += [(None, near), (9, near + " b"), (9, "c " + near)]  # near copies of null and equal ids
+    rows += [(None, f"{words('x', 200)} {shared} {words('y', 200)}"), (None, f"{words('z', 200)} {shared}")]
+    rows += [(7, f"{words('v', 200)} {words('w', 60)}"), (7, f"{words('u', 200)} {words('w', 60)}"), (None, None), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["near_dup"](spark, docs, SF).cache()
+    assert one.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in one.collect()]
+    assert len(kept) == 9 and [i for i, t in kept if t == copy] == [5] and [i for i, t in kept if t and "b299" in t] == [9]
+    assert kept.count((None, None)) == 2 and (8, "") in kept
+    left = stages["repeats"](spark, one, SF).cache()
+    texts = [r.text or "" for r in left.collect()]
+    assert left.columns == docs.columns and len(texts) == 9
+    assert [sum(w in t.split() for t in texts) for w in ("s0", "s59", "w0", "w59", "x0", "y0", "z0", "u0", "v0")] == [1] * 9
+
+
 def test_awkward_rows(spark):
     for docs in (awkward(spark), nothing(spark)):
         columns = docs.columns
