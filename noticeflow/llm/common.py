@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- scratch
@@ -44,6 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the machine: reused Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):  # another C library
+        return
+    trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,19 +74,26 @@ def _inverse(a: int) -> int:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64. Those that a usual chunk needs are
+    kept; a longer text's are made for it alone."""
+
+    KEPT = CHUNK_BYTES + (1 << 16)
 
     def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, U64), np.ones(1, U64)
+        self.base, self.held = base, (np.ones(1, U64), np.ones(1, U64))
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, b in (("up", self.base), ("down", _inverse(self.base))):
-                x = np.full(size, b, U64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
+        if len(self.held[0]) >= n:
+            return self.held
+        size = self.KEPT if self.KEPT // 16 < n <= self.KEPT else max(n, self.KEPT // 16)
+        made = []
+        for b in (self.base, _inverse(self.base)):
+            x = np.full(size, b, U64)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        if size <= self.KEPT:
+            self.held = (made[0], made[1])
+        return made[0], made[1]
 
 
 _BYTE_POWERS, _WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
@@ -113,7 +131,9 @@ class HashIndex:
 
     BITS = 20
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int | None = None) -> None:
+        if bits:
+            self.BITS = bits
         self.clear()
 
     def clear(self) -> None:
@@ -138,14 +158,44 @@ class HashIndex:
             todo, slots = todo[on], (slots[on] + 1) & mask
         return out
 
-    def put(self, key: int) -> int:
+    def put_many(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of new keys, all different."""
         mask = (1 << self.BITS) - 1
-        slot = key & mask
-        while self.keys[slot]:
-            slot = (slot + 1) & mask
-        self.keys[slot], self.rows[slot] = key, self.n
-        self.n += 1
-        return self.n - 1
+        new = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        todo, slots = np.arange(len(keys)), (keys & U64(mask)).astype(np.int64)
+        while len(todo):
+            free = self.keys[slots] == 0
+            self.keys[slots[free]] = keys[todo[free]]  # of several that want a slot the last one has it
+            won = self.keys[slots] == keys[todo]
+            self.rows[slots[won]] = new[todo[won]]
+            todo, slots = todo[~won], (slots[~won] + 1) & mask
+        self.n += len(keys)
+        return new
+
+    def put(self, key: int) -> int:
+        return int(self.put_many(np.array([key], U64))[0])
+
+
+class Growing:
+    """A flat array that is added to at its end."""
+
+    def __init__(self, kind: type):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.data, self.n = np.empty(1 << 10, self.kind), 0
+
+    def extend(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            data = np.empty(max(self.n + len(x), len(self.data) * 3 // 2), self.kind)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.n]
 
 
 # ---------------------------------------------------------------- words

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, chunks, mix, split_words
+from .common import HashIndex, chunks, give_back, mix, split_words
 
 TRAIN_DOCS, ORDER, BUCKETS, SMOOTHING, TEMPER, PENALTY = 2000, 4, 1 << 16, 0.5, 0.4, 12.0
 UNKNOWN = "und"
@@ -215,7 +215,7 @@ class Labeller:
             take, raw = missing[first], w.data.tobytes()
             new = self.model.scores([raw[s:e].decode() for s, e in zip(w.starts[take].tolist(), w.ends[take].tolist(), strict=True)])
             self.held = [np.concatenate([held, x]) for held, x in zip(self.held, new, strict=True)]
-            rows[missing] = np.array([self.index.put(k) for k in keys.tolist()], np.int32)[which]
+            rows[missing] = self.index.put_many(keys)[which]
         return [held[rows] for held in self.held]
 
     def spans(self, texts: pa.Array) -> Iterator[list[tuple]]:
@@ -288,7 +288,8 @@ def foreign(spans: list[tuple]) -> bool:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with all rows, and the columns lang_pred, score, known (the share of letters in scripts
-    of learned languages) and spans (array of language, start, end: bytes of the text)."""
+    of learned languages) and spans (array of language, start, end: bytes of the text). Columns of
+    docs with these names are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
@@ -301,6 +302,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 cols = [pa.array([x[0] for x in found]), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2)), lists]
                 keep = [i for i, c in enumerate(part.schema.names) if c not in ADDED]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *cols], [*(part.schema.names[i] for i in keep), *ADDED])
+        del labeller
+        give_back()
 
     docs = docs.drop(*ADDED)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -334,5 +337,7 @@ def in_known_languages(docs: DataFrame, **names) -> DataFrame:
             for part in chunks(batch, text_col):
                 found = [(*verdict(x), foreign(x)) for x in labeller.spans(part.column(text_col))]
                 yield part.filter(pa.array([lang != UNKNOWN and known >= 0.5 and not far for lang, _, known, far in found], pa.bool_()))
+        del labeller
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, gram_hashes, materialize, mix, split_words
+from .common import chunks, columns, give_back, gram_hashes, materialize, mix, split_words
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, most=1 << 20):
+            for part in chunks(batch, most=1 << 19):
                 elements, ends = shingle_sets(part.column("text"), k)
                 n = np.diff(ends, prepend=0)
                 bands_of = band_hashes(superminhash(elements, ends, bands * rows), bands, rows)
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
                 a, b = (mix(s[ends] - s[ends - n] + n.astype(np.uint64)).view(np.int64) for s in sums)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(bands_of.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
@@ -123,6 +124,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 elements, ends = shingle_sets(part.column("text"), k)
                 lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(elements.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists.cast(pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, gram_hashes, materialize, split_words
+from .common import chunks, columns, give_back, gram_hashes, materialize, split_words
 
 MIN_WORDS, GRAM = 50, 16
 #: Bits of a minimiser's key that hold its place; more only where a chunk has more words than that.
@@ -80,6 +80,7 @@ def _suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
                     [pa.array(grams.view(np.int64)), pa.array(around.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array((lo - w.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((points[w.starts[lo]] - zero).astype(np.int32)), pa.array((points[w.ends[lo + n + min_words - 2]] - zero).astype(np.int32))],
                     ["gram", "around", "doc_id", "run", "runs", "start", "end"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "gram bigint, around bigint, doc_id bigint, run int, runs int, start int, end int")
 
@@ -138,6 +139,7 @@ def _extended(docs: DataFrame, asked: DataFrame, min_words: int) -> DataFrame:
                     [pa.array(gram), pa.array(gram_hashes(h, at, at + min_words).view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array((points[w.starts[at]] - zero).astype(np.int32)), pa.array((points[w.ends[at + min_words - 1]] - zero).astype(np.int32))],
                     ["gram", "hash", "doc_id", "run", "start", "end"],
                 )
+        give_back()
 
     return joined.mapInArrow(run, "gram bigint, hash bigint, doc_id bigint, run int, start int, end int")
 

@@ -40,6 +40,21 @@ def test_hash_index():
     assert index.find(np.concatenate([keys, keys[:3] + np.uint64(1)])).tolist() == [*range(40), -1, -1, -1]
 
 
+def test_hash_index_takes_many_at_once():
+    rnd = np.random.default_rng(3)
+    index = common.HashIndex(7)
+    keys = np.unique(rnd.integers(1, 40, 60)).astype(np.uint64) * np.uint64(128)  # all want one slot
+    assert index.put_many(keys[:5]).tolist() == list(range(5)) and index.put_many(keys[5:]).tolist() == list(range(5, len(keys)))
+    assert index.find(keys).tolist() == list(range(len(keys))) and index.n == len(keys)
+
+
+def test_powers_of_long_texts_are_not_kept():
+    powers = common.Powers(0x9E3779B97F4A7C15)
+    for n in (10, common.Powers.KEPT, 3 * common.Powers.KEPT):
+        up, down = powers.upto(n)
+        assert len(up) >= n and (up[:n] * down[:n] == 1).all() and len(powers.held[0]) <= common.Powers.KEPT
+
+
 def test_own_folder_only_where_none_is_set(spark):
     assert common.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = common.materialize(spark.range(5), "x")
