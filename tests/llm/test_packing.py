@@ -83,3 +83,24 @@ def test_awkward_rows(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     check(spark.read.parquet(f"{sf}/documents.parquet"), queries.op7_packing(spark, sf).collect(), 2048)
+
+
+def test_supersteps_on_executors_like_in_one_process(spark):
+    rnd = random.Random(8)
+    histogram = defaultdict(int)
+    for _ in range(5000):
+        histogram[rnd.choice([rnd.randint(1, 2047), rnd.randint(1, 40), 700])] += 1
+    rows = packing.placements(spark, histogram, 2048).collect()
+    assert sorted((r.size, r["rank"], r["rank"] + r.n, r["first"], r.offset, r.each) for r in rows) == sorted(packing.best_fit(histogram, 2048))
+    assert packing.placements(spark, {}, 2048).count() == 0
+
+
+def test_few_sequences():
+    """As many as one-by-one best-fit decreasing, and near the least that the tokens need."""
+    rnd = random.Random(9)
+    lengths = [rnd.randint(1, 2047) for _ in range(3000)] + [rnd.randint(1, 60) for _ in range(3000)]
+    histogram = defaultdict(int)
+    for n in lengths:
+        histogram[n] += 1
+    used = {first + i // each for _, a, b, first, _, each in packing.best_fit(histogram, 2048) for i in range(b - a)}
+    assert len(used) == one_by_one(lengths, 2048) <= -(-sum(lengths) // 2048) * 1.01
