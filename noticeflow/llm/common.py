@@ -7,7 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -255,6 +255,27 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         i = j
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_row(docs: DataFrame, stage: Callable[..., DataFrame], id_col: str = "doc_id", **options) -> DataFrame:
+    """stage on docs with an id_col that names each row. Where ids are null or repeat this is a key in
+    the order of the ids (null last), which is written once, so that tasks that run again can't change
+    it; ids that name each row already need none."""
+    if docs.groupBy(id_col).agg(F.count("*").alias("n")).filter(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        return stage(docs, id_col=id_col, **options)
+    key = spare(docs, "_row")
+    order = [F.col(id_col).asc_nulls_last(), F.col(key)]  # the key spreads rows of one id over the tasks
+    ranged = docs.withColumn(key, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = materialize(ranged.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    return stage(keyed, id_col=key, **options).drop(key)
+
+
 def columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, so that others with clashing names can't interfere."""
     return df.select(*(F.col(v).alias(k) for k, v in names.items()))

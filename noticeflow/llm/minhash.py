@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, give_back, gram_hashes, materialize, mix, split_words
+from .common import chunks, columns, give_back, gram_hashes, materialize, mix, spare, split_words
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -260,5 +260,6 @@ def tiles(left: DataFrame, sets: DataFrame, of_node: DataFrame, percent: int) ->
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with all their columns: of each group the rows of one
     doc_id, and all rows without doc_id or words."""
-    kept = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, docs[options.get("id_col", "doc_id")] == F.col("_gone"), "left_anti")
+    gone = spare(docs, "_gone")
+    kept = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(kept, docs[options.get("id_col", "doc_id")] == F.col(gone), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, give_back, gram_hashes, materialize, split_words
+from .common import by_row, chunks, columns, give_back, gram_hashes, materialize, spare, split_words
 
 MIN_WORDS, GRAM = 50, 16
 #: Bits of a minimiser's key that hold its place; more only where a chunk has more words than that.
@@ -168,18 +168,25 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_co
     ).select("doc_id", "start", "end", "first_word", "n_words", F.col("f.from_doc").alias("from_doc_id"), F.col("f.from_run").alias("from_word"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with all their columns, without the repeats in their texts; length_col, where there is
     such a column, is that of the text that is left. Texts of which nothing is left but white space
-    go; texts without repeats, null and empty ones stay as they are."""
+    go; texts without repeats, null and empty ones stay as they are. Every row is a text of its own,
+    whatever its id: what is cut from one stands in another, and rows of one id or none have different
+    cuts; an exact copy of a row goes."""
+    return by_row(docs, _without, id_col, **options)
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     spans = repeats(docs, id_col=id_col, text_col=text_col, **options)
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    marked = docs.join(cuts, docs[id_col] == F.col("_id"), "left").drop("_id")
+    cut_col, of_col = spare(docs, "_cuts"), spare(docs, "_of")
+    cuts = spans.groupBy(F.col("doc_id").alias(of_col)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut_col))
+    marked = docs.join(cuts, docs[id_col] == F.col(of_col), "left").drop(of_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = batch.column("_cuts")
-            own = batch.select([c for c in batch.schema.names if c != "_cuts"])
+            cuts = batch.column(cut_col)
+            own = batch.select([c for c in batch.schema.names if c != cut_col])
             rows = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
             if len(rows):
                 texts, keep = own.column(text_col).to_pylist(), np.ones(batch.num_rows, bool)
