@@ -22,33 +22,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from noticeflow.llm import langid, minhash, packing, pii, suffixes
-from noticeflow.llm.common import documents, materialize
+from noticeflow.llm.common import by_row, documents, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.in_known_languages(docs)
 
 
-def by_row(docs: DataFrame, stage: Callable[..., DataFrame], **options) -> DataFrame:
-    """stage on docs with an id_col that names each row. The key is written once, so that tasks that
-    run again can't change it; ids that name each row already need none."""
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
-        return stage(docs, **options)
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_row")]  # _row spreads rows of one id over the tasks
-    ranged = docs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    keyed = materialize(ranged.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    return stage(keyed, id_col="_row", **options).drop("_row")
-
-
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return by_row(docs, minhash.keep_one, k=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return by_row(docs, suffixes.without_repeats)
+    return suffixes.without_repeats(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
