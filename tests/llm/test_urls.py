@@ -107,6 +107,20 @@ def test_a_rule_rests_on_a_number_of_bad_pages(spark):
         assert {(*r.rule, round(r.confidence, 3)) for r in rules} == {("h:five", 1.0), ("h:mostly", 0.833)}
 
 
+def test_many_parameters_that_come_together(spark):
+    """Forty parameters of one template, mined like one, give what counting gives for each."""
+    params = "&".join(f"k{i}=1" for i in range(40))
+    urls_ = [(f"http://bad.edu/x{i}?{params}", 0) for i in range(6)] + [(f"http://good.edu/y{i}", 1) for i in range(6)] + [(f"http://bad.edu/z{i}", 1) for i in range(6)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls_)] + [(100, "http://new.edu/?k7=2"), (101, "http://new.edu/?k=2")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, q, None) for i, (_, q) in enumerate(urls_)], "doc_id bigint, quality int, toxic int")
+    with_tokens = pages.withColumn("tokens", urls.tokens(F.col("url"), urls.host_of(F.col("url")), urls.path_of(F.col("url"))))
+    labelled = with_tokens.join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select("tokens", (F.col("quality") == 0).alias("bad"))
+    # By counting: each parameter stands on the 6 bad pages alone; hosts on 6 of 12 and 6 of 18.
+    assert {tuple(r.rule) for r in urls.mine(labelled).collect()} == {(f"q:k{i}",) for i in range(40)}
+    verdicts = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
+    assert verdicts == {i: "block" if i < 6 or i == 100 else "allow" for i in [*range(18), 100, 101]}
+
+
 def test_many_rules_are_joined(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_RULES", 0)
     test_mined_rules_like_counting(spark)
