@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeflow.functions import address, category, dates, hashing, html, jsonx, lots, money, sections, text, types
+from noticeflow.functions import address, category, dates, hashing, html, jsonx, lots, money, text, types
 from noticeflow.operators import attempts
 from noticeflow.operators.dedupe import first_seen, unique_names, unseen
 from noticeflow.plans import budget
@@ -30,11 +30,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _all() -> None:
+    """The other modules register their queries when they are first imported."""
+    from noticeflow import catalogue_records, catalogue_texts  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -49,14 +56,15 @@ def col_of(c) -> F.Column:
 # ------------------------------------------------------------------ budget and events
 
 
-@query("""select cast(ts as date) as day, round(sum(value), 2) as spent_usd, sum(value) >= 4000 as stopped
+# Days are those of the budget's zone, eight hours ahead of the table's times.
+@query("""select cast(ts + interval 8 hour as date) as day, round(sum(value), 2) as spent_usd, sum(value) >= 4000 as stopped
 from events where event_type = 'purchase' group by 1""")
 def q_daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
     return budget.daily_budget(events, F.col("ts"), F.col("value"), LIMIT)
 
 
-_RUNNING = """select event_id, cast(ts as date) as day, sum(value) over (partition by cast(ts as date) order by ts, event_id rows unbounded preceding) as running
+_RUNNING = """select event_id, cast(ts + interval 8 hour as date) as day, sum(value) over (partition by cast(ts + interval 8 hour as date) order by ts, event_id rows unbounded preceding) as running
 from events where event_type = 'purchase'"""
 
 
@@ -254,7 +262,7 @@ def q_lot_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", lots.lot_number(F.concat(F.lit("第"), n, F.lit("包"))).alias("lot"))
 
 
-@query("""select conv_id, turn, i as pos, 'c' || conv_id || '-' || i as candidate, cast(case when turn % 3 = 0 then turn when i < n - 1 then turn + i end as double) as price
+@query("""select conv_id, turn, i as pos, 'c' || conv_id || '-' || i as candidate, cast(case when turn % 3 = 0 or n = 2 then turn when i < n - 1 then turn + i end as double) as price
 from (select *, unnest(range(n)) as i from (select conv_id, turn, 1 + turn % 4 as n from conversations))""")
 def q_lot_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (1 + F.col("turn") % 4).cast("int")
@@ -264,9 +272,7 @@ def q_lot_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.lit("")
     raw = F.array(F.struct(F.lit("1").alias("lotNumber"), empty.alias("lotName"), F.lit("中标").alias("type"), names.alias("candidates"), prices.alias("candidatePrices"), empty.alias("winner"), empty.alias("winningAmount")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"), lots.candidates(raw).alias("rows")).select("conv_id", "turn", "n", F.posexplode("rows").alias("pos", "r"))
-    # A list of one price holds for all candidates, which the case with two candidates would be.
-    price = F.when((F.col("n") == 2) & (F.col("turn") % 3 != 0) & (F.col("pos") == 1), None).otherwise(F.col("r.candidatePrices"))
-    return rows.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.col("r.candidates").alias("candidate"), price.alias("price"))
+    return rows.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.col("r.candidates").alias("candidate"), F.col("r.candidatePrices").alias("price"))  # one valid price holds for all candidates
 
 
 @query("""with l as (select l_orderkey, l_linenumber, min(l_partkey) as part from lineitem group by all), p as (select * from l where l_linenumber <= 2), c as (select * from l where l_linenumber > 2)
@@ -350,14 +356,6 @@ def q_addr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ records
 
 
-@query("""select d.doc_id, coalesce(l.quality, 0) as quality, coalesce(l.toxic, 0) = 1 or length(d.text) > 5000 as flagged, coalesce(d.source, '') as source from documents d left join labels l on d.doc_id = l.doc_id""")
-def q_stage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    from noticeflow.plans.normalize import merged_flag
-
-    return joined.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), merged_flag(F.col("toxic") == 1, F.length("text") > 5000).alias("flagged"), F.coalesce("source", F.lit("")).alias("source"))
-
-
 @query("""select doc_id, '' as "dataId", 2026041001 as version, false as "inputTruncated", source as "announcementName", lang as "projectName", true as "isEquipment", false as "isOverseasProject", cast(null as double) as "budgetAmount", 0 as lots from documents""")
 def q_template_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noticeflow import catalog
@@ -409,19 +407,6 @@ def q_data_id_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.with_data_id(items).select(F.col("order").alias("o_orderkey"), "dataId")
 
 
-@query("""select case when lang <> 'en' then 'not_on_detail_page' when source = 'src0' then 'skipped_duplicate' when length(text) < 200 then 'extract_content_empty' else 'success' end as outcome_code, count(*) as n from documents group by 1""")
-def q_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("lang") != "en", "not_on_detail_page").when(F.col("source") == "src0", "skipped_duplicate").when(F.length("text") < 200, "extract_content_empty").otherwise("success")
-    return table(spark, sf_dir, "documents").select(code.alias("outcome_code")).groupBy("outcome_code").agg(F.count("*").alias("n"))
-
-
-@query("""select doc_id, string_split(text, chr(10))[1] as first_line, len(string_split(text, chr(10))) as n_lines from documents""")
-def q_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lined = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("### h\n"), x)), "\n")
-    parts = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(sections.sections(lined)).cast("bigint").alias("n_lines"))
-    return parts.select("doc_id", F.split("text", "\n")[0].alias("first_line"), "n_lines")
-
-
 @query()
 def q_html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("html")

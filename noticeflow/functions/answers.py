@@ -22,7 +22,7 @@ def unescape_outside_strings(text: str) -> str:
 
 
 def _values(text: str, kind: type):
-    """JSON values of a kind in a text, from left to right."""
+    """Where JSON values of a kind start in a text, and what they are, from left to right."""
     decoder, at, mark = json.JSONDecoder(), 0, "{" if kind is dict else "["
     while (at := text.find(mark, at)) >= 0:
         try:
@@ -31,17 +31,17 @@ def _values(text: str, kind: type):
             at += 1
             continue
         if isinstance(value, kind):
-            yield value
+            yield at, value
         at = end
 
 
 def first_value(text: str | None, kind: type):
     """JSN2, JSN3: the first JSON object (or list) in a text, as it is or with its escapes undone;
-    trailing commas don't matter (JSN5)."""
+    trailing commas don't matter (JSN5): of an object that has one, no inner object is taken instead."""
     for s in (text or "", unescape_outside_strings(text or ""), (text or "").replace("\\n", "\n").replace("\\t", "\t").replace('\\"', '"')):
-        for form in (s, re.sub(r",\s*([}\]])", r"\1", s)):
-            if (found := next(_values(form, kind), None)) is not None:
-                return found
+        forms = (next(_values(form, kind), None) for form in (s, re.sub(r",\s*([}\]])", r"\1", s)))
+        if found := [x for x in forms if x is not None]:
+            return min(found, key=lambda x: x[0])[1]
     return None
 
 

@@ -11,6 +11,7 @@ from noticeflow.functions.text import strip
 # What separates terms of a row, and several values of an answer.
 TERM_SEPARATORS = "[、,，]+"
 VALUE_SEPARATORS = "[、,，;；/|\n]+"
+TRUE_ANSWERS = ["true", "yes", "1", "是", "匹配", "符合"]
 
 
 def product_terms(spark: SparkSession, text: str, fallback: str = "") -> DataFrame:
@@ -59,6 +60,12 @@ def answer_kind(answer: Column, in_table: Column) -> Column:
     return F.when(s == "", "no_match").when(in_table, "exact").when(F.size(F.split(s, VALUE_SEPARATORS)) > 1, "multi_value").otherwise("not_in_table")
 
 
+def selected(prompt: Column, answer: Column) -> Column:
+    """PRJ23: whether a notice is of the prompt's category: with ALL any is; else the recorded answer
+    must say so, and one that doesn't decide leaves it out."""
+    return F.when(F.upper(strip(prompt)) == "ALL", True).otherwise(F.lower(strip(answer)).isin(TRUE_ANSWERS))
+
+
 def answer_value(answer: Column, kind: Column) -> Column:
     """CAT4: the first value of several; any other answer as it is."""
     s = strip(answer)

@@ -38,6 +38,10 @@ def deadline_rule(published: Column, deadline: Column, today: Column, start: Col
     return F.coalesce(F.when(published.isNull(), open_).when(deadline.isNull(), in_range(published, start, end)).otherwise(open_ & in_range(published, start, end)), F.lit(False))
 
 
-def budget_day(ts: Column, timezone: str = "Asia/Shanghai") -> Column:
-    """DAT3: the day, in a time zone, of a UTC timestamp."""
-    return F.to_date(F.from_utc_timestamp(ts, timezone))
+#: Fixed value: the zone whose days budgets go by.
+BUDGET_ZONE = "Asia/Shanghai"
+
+
+def budget_day(ts: Column, timezone: str = BUDGET_ZONE) -> Column:
+    """DAT3: the day, in a time zone, of a UTC time without zone; the session's zone plays no part."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(timezone), ts.cast("timestamp_ntz")))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import let, split_list, strip
+from noticeflow.functions.text import fold_empty, let, split_list, strip
 
 # The forms of numbers and ranges, units and currency marks.
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 RANGE = r"^\d+(\.\d+)?~\d+(\.\d+)?$"
-RANGE_SEPARATORS = "[~～－—–至到-]"
 UNITS = {"亿": 100_000_000, "万": 10_000}
 
 
@@ -31,19 +30,37 @@ def to_yuan(c: Column) -> Column:
     return let(strip(c), amount)
 
 
+def yuan_text(c: Column) -> Column:
+    """NUM2: a text's amount as text, with as many decimals as the number in it has."""
+
+    def said(s: Column) -> Column:
+        decimals = F.length(F.regexp_extract(F.regexp_replace(s, "[,，]", ""), r"\d+\.(\d+)", 1))
+        value = F.split(_amount(s).cast("string"), r"\.")
+        return F.when(to_yuan(s).isNotNull(), F.concat_ws(".", F.get(value, F.lit(0)), F.when(decimals > 0, F.substr(F.get(value, F.lit(1)), F.lit(1), decimals))))
+
+    return let(strip(c), said)
+
+
 def estimated_range(c: Column) -> Column:
-    """NUM3: `lo~hi` in yuan from a range, where a unit at its end holds for both ends; `x~x` from
-    one amount; any other text as it is."""
-    plain = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")
+    """NUM3: `lo~hi` in yuan from a range, where a unit at one end holds for both; `x~x` from one
+    amount; '' for what means nothing, any other text as it is."""
+    unit = lambda x: F.when(x.contains("亿"), "亿").when(x.contains("万"), "万").when(x.contains("元"), "元").otherwise("")
 
-    def of_sides(s: Column) -> Column:
-        sides = F.split(s, RANGE_SEPARATORS)
-        unit = F.regexp_extract(s, "([亿万]?)元?$", 1)
-        lo, hi = (F.get(sides, F.lit(i)) for i in (0, 1))
-        ends = F.struct(s.alias("s"), F.size(sides).alias("n"), to_yuan(F.when(lo.rlike("[亿万]"), lo).otherwise(F.concat(lo, unit))).alias("lo"), to_yuan(hi).alias("hi"), to_yuan(s).alias("one"))
-        return let(ends, lambda e: F.when((e["n"] == 2) & e["lo"].isNotNull() & e["hi"].isNotNull(), F.concat(plain(e["lo"]), F.lit("~"), plain(e["hi"]))).when(e["one"].isNotNull(), F.concat(plain(e["one"]), F.lit("~"), plain(e["one"]))).otherwise(e["s"]))
+    def sides(s: Column) -> Column:
+        plain = F.translate(s, "～－—–", "~---")
+        plain = F.when(plain.contains("~"), plain).otherwise(F.regexp_replace(plain, "[至到]", "~"))
+        by_tilde = F.filter(F.transform(F.split(plain, "~"), strip), lambda x: x != "")
+        by_dash = F.transform(F.split(plain, "-"), strip)
+        dashed = F.when((F.size(by_dash) == 2) & F.forall(by_dash, lambda x: x.rlike("[0-9]")), by_dash)
+        return F.struct(s.alias("s"), F.when(plain.contains("~"), F.when(F.size(by_tilde) == 2, by_tilde)).otherwise(dashed).alias("ends"))
 
-    return let(strip(c), of_sides)
+    def settled(x: Column) -> Column:
+        lo, hi = F.get(x["ends"], F.lit(0)), F.get(x["ends"], F.lit(1))
+        units = F.concat(unit(lo), unit(hi))  # for the end that has none
+        both = F.struct(*(yuan_text(F.when(unit(end) == "", F.concat(end, units)).otherwise(end)).alias(name) for name, end in (("lo", lo), ("hi", hi))), yuan_text(x["s"]).alias("one"), x["s"].alias("s"))
+        return let(both, lambda b: F.when(b["lo"].isNotNull() & b["hi"].isNotNull(), F.concat(b["lo"], F.lit("~"), b["hi"])).when(b["one"].isNotNull(), F.concat(b["one"], F.lit("~"), b["one"])).otherwise(b["s"]))
+
+    return let(let(fold_empty(c), sides), settled)
 
 
 def price_list(c: Column) -> Column:
@@ -70,3 +87,8 @@ def non_zero(c: Column) -> Column:
 def empty_quantity(c: Column) -> Column:
     """NUM7: null, 0, '' and '0', but not '0.0'."""
     return strip(c).isin("", "0")
+
+
+def plain_number(c: Column) -> Column:
+    """NUM12: a text as a number, thousands' commas aside; null for what isn't one."""
+    return F.regexp_replace(strip(c), ",", "").try_cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow.functions.html import clean_flat_udf
-from noticeflow.functions.text import looks_like_html, strip
+from noticeflow.functions.text import let, looks_like_html, strip
 
 # The form of a heading, and the headings with a meaning.
 HEADING = r"^\s{0,3}#{1,6}\s*(.+?)\s*$"
@@ -19,16 +19,8 @@ def unified(c: Column) -> Column:
 
 def sections(c: Column) -> Column:
     """TXT13, WIN5: heading, heading_line, content, raw of each section, in order. What stands before
-    the first heading has a null heading."""
-    lines = F.split(unified(c), "\n")
-    empty = F.array().cast("array<struct<heading_line:string,lines:array<string>>>")
-
-    def step(acc: Column, line: Column) -> Column:
-        new = F.array(F.struct(line.alias("heading_line"), F.array().cast("array<string>").alias("lines")))
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["heading_line"].alias("heading_line"), F.concat(last["lines"], F.array(line)).alias("lines"))))
-        first = F.array(F.struct(F.lit(None).cast("string").alias("heading_line"), F.array(line).alias("lines")))
-        return F.when(line.rlike(HEADING), F.concat(acc, new)).when(F.size(acc) == 0, first).otherwise(grown)
+    the first heading has a null heading. Sections are slices between the places of headings, so the
+    work grows with the text."""
 
     def shaped(s: Column) -> Column:
         body = F.array_join(s["lines"], "\n")
@@ -40,7 +32,17 @@ def sections(c: Column) -> Column:
             strip(F.concat_ws("\n", head, F.when(F.size(s["lines"]) > 0, body))).alias("raw"),
         )
 
-    return F.transform(F.aggregate(lines, empty, step), shaped)
+    def cut(x: Column) -> Column:
+        lines, heads = x["lines"], x["heads"]
+        ends = F.concat(heads, F.array(F.size(lines) + 1))
+        before = F.get(ends, F.lit(0)) - 1
+        first = F.struct(F.lit(None).cast("string").alias("heading_line"), F.slice(lines, F.lit(1), before).alias("lines"))
+        own = lambda h, k: F.struct(F.get(lines, h - 1).alias("heading_line"), F.slice(lines, h + 1, F.get(ends, k + 1) - h - 1).alias("lines"))
+        none = F.array().cast("array<struct<heading_line:string,lines:array<string>>>")
+        return F.transform(F.concat(F.when(before > 0, F.array(first)).otherwise(none), F.transform(heads, own)), shaped)
+
+    places = lambda lines: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(HEADING))
+    return let(let(F.split(unified(c), "\n"), lambda lines: F.struct(lines.alias("lines"), places(lines).alias("heads"))), cut)
 
 
 def title(parts: Column) -> Column:

@@ -99,6 +99,12 @@ def shortened(c: Column, most: int = 600) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+def retry_excerpt(c: Column, attempt: Column) -> Column:
+    """SRT4: what the attempt (from 1) of a repair is shown of a text: less each time; the last cap holds on."""
+    cap = F.element_at(F.array(*map(F.lit, RETRY_EXCERPTS)), F.least(F.greatest(attempt, F.lit(1)), F.lit(len(RETRY_EXCERPTS))).cast("int"))
+    return F.substr(c, F.lit(1), cap)
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """TXT16: a template with {name} places; a name without a value is an error."""
     import string

@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noticeflow.functions.dates import BUDGET_ZONE, budget_day
 
-def daily_budget(usage: DataFrame, ts: Column, cost: Column, limit_usd: float) -> DataFrame:
-    """AGG1: spend per day and whether it reached the limit."""
+
+def daily_budget(usage: DataFrame, ts: Column, cost: Column, limit_usd: float, timezone: str = BUDGET_ZONE) -> DataFrame:
+    """AGG1: spend per day of the budget's zone and whether it reached the limit."""
     total = F.sum(cost)
-    return usage.groupBy(F.to_date(ts).alias("day")).agg(F.round(total, 2).alias("spent_usd"), (total >= F.lit(limit_usd)).alias("stopped"))
+    return usage.groupBy(budget_day(ts, timezone).alias("day")).agg(F.round(total, 2).alias("spent_usd"), (total >= F.lit(limit_usd)).alias("stopped"))
 
 
-def running_spend(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float) -> DataFrame:
+def running_spend(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float, timezone: str = BUDGET_ZONE) -> DataFrame:
     """WIN3: each call with its day's spend so far, and whether the latch is set by then."""
     w = W.partitionBy("day").orderBy(ts, key).rowsBetween(W.unboundedPreceding, 0)
-    spent = usage.withColumn("day", F.to_date(ts)).withColumn("running", F.sum(cost).over(w))
+    spent = usage.withColumn("day", budget_day(F.col(ts), timezone)).withColumn("running", F.sum(cost).over(w))
     return spent.withColumn("stopped", F.max(F.col("running") >= limit_usd).over(w))
 
 
-def alerts(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float) -> DataFrame:
+def alerts(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float, timezone: str = BUDGET_ZONE) -> DataFrame:
     """WIN6: the first call of each day at which the limit is reached."""
-    hit = running_spend(usage, ts, cost, key, limit_usd).filter("stopped")
+    hit = running_spend(usage, ts, cost, key, limit_usd, timezone).filter("stopped")
     return hit.withColumn("n", F.row_number().over(W.partitionBy("day").orderBy(ts, key))).filter("n = 1").drop("n")
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeflow import catalog
 from noticeflow.functions import address, category, dates, hashing, html, jsonx, lots, sections, text, types
 from noticeflow.operators import attempts
-from noticeflow.operators.dedupe import unseen
 
 STAGES = ("meta", "contacts", "address_detail", "lots")
 # How a notice can end, in the order in which it is decided.
@@ -113,23 +113,30 @@ def normalize(sources: DataFrame, responses: DataFrame, terms: DataFrame, key: s
     return hashing.with_data_id(catalog.conform(done.withColumnRenamed(key, "doc_id")))
 
 
+def _settled_pages(known: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
+    """JON1, WIN1 after content: key, _content and _fresh of the pages whose key isn't in the ledger.
+    A page counts as seen once it has content, so one that arrives empty leaves its key to the next.
+    Only these pages' HTML is parsed, each once."""
+    content = text.strip(html.clean_content_udf(html.main_container_udf(F.col("html"))))
+    parsed = known.join(ledger.select("detail_key").distinct(), "detail_key", "left_anti").select(key, "detail_key", "arrival", content.alias("_content"))
+    earlier = W.partitionBy("detail_key").orderBy("arrival", key).rowsBetween(W.unboundedPreceding, -1)
+    return parsed.select(key, "_content", (F.coalesce(F.count_if(F.col("_content") != "").over(earlier), F.lit(0)) == 0).alias("_fresh"))
+
+
 def crawl(pages: DataFrame, responses: DataFrame, terms: DataFrame, ledger: DataFrame, machinery_only: bool = False, key: str = "doc_id") -> DataFrame:
     """The crawl plan: pages (key, url, list_url, title, list_date, html, arrival) to records. Every
     page keeps a row; outcome_code says how it ended (PRJ15), in the order of OUTCOMES."""
     file_date = dates.normalize_date(F.col("list_date"))
-    known = pages.withColumn("detail_key", jsonx.detail_key(F.col("url"), F.col("title"), file_date))
-    on_list = jsonx.on_list_page(F.col("url"), F.col("list_url"))
-    fresh = unseen(known.filter(~on_list), ledger, ["detail_key"], ["arrival", key]).select(key, F.lit(True).alias("_fresh"))
-    content = html.clean_content_udf(html.main_container_udf(F.col("html")))
-    docs = known.join(fresh, key, "left").withColumn("_list", on_list)
-    docs = docs.withColumn("_content", F.when(F.col("_fresh"), text.strip(content)))
+    known = pages.withColumn("detail_key", jsonx.detail_key(F.col("url"), F.col("title"), file_date)).withColumn("_list", jsonx.on_list_page(F.col("url"), F.col("list_url")))
+    settled = _settled_pages(known.filter(~F.col("_list")), ledger, key)
+    docs = known.drop("html").join(settled, key, "left").withColumn("_fresh", F.coalesce("_fresh", F.lit(False))).withColumn("_content", F.when(F.col("_fresh"), F.col("_content")))
     items = staged(docs.select(key, "url", "title", "list_date", "detail_key", "_list", "_fresh", "_content"), responses, key)
     machine = responses.filter("stage = 'machinery'").groupBy(key).agg(F.min_by(F.get_json_object("payload", "$.isMachinery"), "attempt").alias("_machine"))
     items = items.join(machine, key, "left").withColumn("announcementUrl", F.col("url")).withColumn("announcementName", F.col("title")).withColumn("announcementContent", F.coalesce("_content", F.lit("")))
     items = items.withColumn("announcementDate", F.when(F.col("announcementDate") == "", file_date).otherwise(F.col("announcementDate")))
     done = _finished(items, terms, responses, key)
     skip = F.lit(machinery_only) & (F.lower("_machine") == "false") & (F.col("projectName") != "")  # unknown is kept (PRJ14)
-    outcome = F.when(F.col("_list"), OUTCOMES[0]).when(F.col("_fresh").isNull(), OUTCOMES[1]).when(F.col("announcementContent") == "", OUTCOMES[2]).when(skip, OUTCOMES[3]).when(F.col("announcementType") == "", OUTCOMES[4]).otherwise(OUTCOMES[5])
+    outcome = F.when(F.col("_list"), OUTCOMES[0]).when(~F.col("_fresh"), OUTCOMES[1]).when(F.col("announcementContent") == "", OUTCOMES[2]).when(skip, OUTCOMES[3]).when(F.col("announcementType") == "", OUTCOMES[4]).otherwise(OUTCOMES[5])
     done = done.withColumn("outcome_code", outcome).withColumnRenamed(key, "doc_id")
     keys = done.select("doc_id", "detail_key")
     return hashing.with_data_id(catalog.conform(done)).join(keys, "doc_id")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,35 @@ def write_records(items: DataFrame, path: str, day: str = "day", site: str = "si
     items.write.mode("append").partitionBy(day, site).json(path)
 
 
+def record_files(items: DataFrame, fields: list[str], day: str = "day", site: str = "site", name: str = "file_name") -> DataFrame:
+    """SNK1: path (day/site/file name) and content of one JSON file for each notice: its fields in
+    order, indented by two."""
+
+    @F.pandas_udf(T.StringType())
+    def dump(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([json.dumps(plain(r), ensure_ascii=False, indent=2) for r in rows.to_dict("records")])
+
+    return items.select(F.concat_ws("/", F.col(day).cast("string"), F.col(site), F.col(name)).alias("path"), dump(F.struct(*fields)).alias("content"))
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """SNK1: writes each content to its path under root, a folder of any store that Arrow can reach,
+    and says how many. A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content")), strict=True):
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0])
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_table(items: DataFrame, path: str, day: str = "day", site: str = "site") -> None:
     items.write.mode("append").partitionBy(day, site).parquet(path)
 

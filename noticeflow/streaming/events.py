@@ -60,9 +60,12 @@ def first_seen_stream(events: DataFrame, keys: list[str], ts: str, watermark: st
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def daily_spend_stream(events: DataFrame, ts: str, cost: str, watermark: str = "2 days") -> DataFrame:
-    """STM8: running totals per day, kept in keyed state."""
-    return events.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day").alias("w")).agg(F.sum(cost).alias("spent")).select(F.to_date("w.start").alias("day"), "spent")
+def daily_spend_stream(events: DataFrame, ts: str, cost: str, watermark: str = "2 days", limit_usd: float = float("inf"), offset_hours: int = 0) -> DataFrame:
+    """STM8: running totals per day, kept in keyed state, and whether they reached the limit. Days
+    begin at midnight of a zone that is so many hours ahead."""
+    day = F.window(ts, "1 day", startTime=f"{-offset_hours % 24} hours")
+    spent = events.withWatermark(ts, watermark).groupBy(day.alias("w")).agg(F.sum(cost).alias("spent"))
+    return spent.select(F.to_date(F.col("w.start") + F.make_interval(hours=F.lit(offset_hours))).alias("day"), "spent", (F.col("spent") >= F.lit(limit_usd)).alias("stopped"))
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:

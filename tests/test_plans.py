@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from noticeflow import catalog
 from noticeflow.functions import category
 from noticeflow.operators.dedupe import unique_names
+from noticeflow.plans import answers, budget
 from noticeflow.plans import normalize as plan
+from noticeflow.sources import sinks
 from noticeflow.streaming import events as ev
 
 TERMS = "挖机、推土机\n装载机,叉车"
@@ -82,6 +84,41 @@ def test_crawl_outcomes(spark, responses):
     assert "推土机" in out[1].announcementContent
     kept = plan.crawl(pages, responses, terms, ledger).filter("doc_id = 4").first()
     assert kept.outcome_code == "success"
+    # A key whose first page arrives empty is free for the next one.
+    again = spark.createDataFrame([(20 + i, "http://a.b/d/20", "http://a.b/l", "t", None, h, i) for i, h in enumerate(["<script>x</script>", "<style>y</style>", HTML, "<script>z</script>", HTML])], pages.schema)
+    out = {r.doc_id: r.outcome_code for r in plan.crawl(again, responses.withColumn("doc_id", F.when(F.col("doc_id") == 1, 22).otherwise(0).cast("bigint")), terms, ledger).collect()}
+    assert out == {20: "extract_content_empty", 21: "extract_content_empty", 22: "success", 23: "skipped_duplicate", 24: "skipped_duplicate"}
+    assert [r.detail_key for r in plan.ledger_of(plan.crawl(again.limit(2), responses, terms, ledger)).collect()] == []
+
+
+def test_content_to_markdown_and_parents(spark):
+    said = spark.createDataFrame([("a", "markdown", 1, "```\n# x\\n\n```"), ("o", "parent", 1, '{"parentOrgName":"","confidence":true,"sourceUrls":[]}'), ("p", "parent", 1, '{"parentOrgName":"P","confidence":1,"sourceUrls":[]}')], "k string, stage string, attempt int, payload string")
+    contents = spark.createDataFrame([("a", "x"), ("b", " "), ("c", "y")], "k string, content string")
+    assert {r.k: r.markdown for r in answers.content_to_markdown(contents, said, "k").collect()} == {"a": "# x\n", "b": "", "c": None}
+    hits = spark.createDataFrame([], "k string, pos int, url string, title string")
+    out = {r.k: r for r in answers.parents(spark.createDataFrame([("o",), ("p",)], "k string"), said, hits, "k").collect()}
+    assert out["o"].parent is None and (out["p"].affiliate, out["p"].parent, out["p"].confidence) == ("p", "P", 1.0)
+    assert [tuple(s) for s in out["p"].sources] == [(answers.NO_SOURCE, answers.NO_SOURCE)]
+
+
+def test_a_file_for_each_notice(spark, tmp_path):
+    items = spark.createDataFrame([("2026-01-01", "站", f"t{i}_d.json", i, None) for i in range(5)], "day string, site string, file_name string, id bigint, x double").repartition(3)
+    files = sinks.record_files(items, ["id", "x"])
+    for _ in range(2):  # once more gives the same files
+        assert sinks.write_files(files, tmp_path.as_uri()) == 5
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*.json")) == [f"2026-01-01/站/t{i}_d.json" for i in range(5)]
+    assert (tmp_path / "2026-01-01/站/t3_d.json").read_text() == '{\n  "id": 3,\n  "x": null\n}'
+    assert sinks.write_files(files.limit(0), tmp_path.as_uri()) == 0
+
+
+def test_budget_days_are_those_of_the_zone(spark):
+    rows = spark.createDataFrame([("2026-01-01 15:59:59", 1.0, 1), ("2026-01-01 16:00:00", 2.0, 2)], "t string, v double, k int").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert {str(r.day): r.spent_usd for r in budget.daily_budget(rows, F.col("ts"), F.col("v"), 9.0).collect()} == {"2026-01-01": 1.0, "2026-01-02": 2.0}
+    spark.conf.set("spark.sql.session.timeZone", old)
+    assert {str(r.day) for r in budget.running_spend(rows, "ts", "v", "k", 9.0, "UTC").collect()} == {"2026-01-01"}
 
 
 def test_names_after_existing(spark):
