@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.functions.text import strip
+from noticeflow.functions.text import let, strip
 
 # Short names that aren't accepted, divisions, their endings, and countries.
 SHORT_NAMES = ["京", "津", "沪", "渝", "冀", "豫", "云", "辽", "黑", "湘", "皖", "鲁", "新", "苏", "浙", "赣", "鄂", "桂", "甘", "晋", "蒙", "陕", "吉", "闽", "贵", "粤", "青", "藏", "川", "蜀", "宁", "琼", "港", "澳", "台", "内蒙", "新疆", "广西", "宁夏"]
@@ -28,9 +28,17 @@ def _illegal(c: Column) -> Column:
     return c.rlike(r"[\x00-\x1f]")
 
 
+def _group(*fields: Column) -> Column:
+    """The four fields as one value, stripped, so that rules that name them often compute them once."""
+    return F.struct(*(strip(c).alias(f) for f, c in zip(FIELDS, fields, strict=True)))
+
+
 def reason(country: Column, province: Column, city: Column, district: Column) -> Column:
     """ADR1: why a group isn't valid (the first reason), or ok / ok_non_cn."""
-    own = dict(zip(FIELDS, map(strip, (country, province, city, district)), strict=True))
+    return let(_group(country, province, city, district), lambda g: _reason({f: g[f] for f in FIELDS}))
+
+
+def _reason(own: dict[str, Column]) -> Column:
     out = F.when(F.lit(False), "")
     for name, c in own.items():
         out = out.when(_illegal(c), f"{name}_illegal_chars").when(c.isin(SHORT_NAMES), f"{name}_abbrev")
@@ -76,16 +84,31 @@ def valid_district(country: Column, district: Column) -> Column:
     return (x == "") | _sound(x) & (~c.isin("", CHINA) | x.rlike(DISTRICT_ENDINGS))
 
 
+def settled(old: Column, new: Column) -> Column:
+    """ADR3: of two groups (structs of FIELDS): each new field that is valid, else the old one; a
+    municipality is its own city. Every step is computed once."""
+
+    def with_country(x: Column) -> Column:
+        country = F.when(valid_country(x["new"]["country"]), x["new"]["country"]).otherwise(x["old"]["country"])
+        return let(F.struct(x["old"].alias("old"), x["new"].alias("new"), country.alias("country")), with_others)
+
+    def with_others(x: Column) -> Column:
+        of = lambda f, valid: F.when(valid(x["country"], x["new"][f]), x["new"][f]).otherwise(x["old"][f]).alias(f)
+        return let(F.struct(x["old"]["city"].alias("old_city"), x["country"].alias("country"), of("province", valid_province), of("city", valid_city), of("district", valid_district)), agreed)
+
+    def agreed(x: Column) -> Column:
+        differs = x["province"].isin(MUNICIPALITIES) & (x["city"] != "") & (x["city"] != x["province"])
+        city = F.when(differs, F.when(x["old_city"] != "", x["old_city"]).otherwise(x["province"])).otherwise(x["city"])
+        country = F.when((x["province"] == TAIWAN) & ~x["country"].isin("", CHINA), CHINA).otherwise(x["country"])
+        return F.struct(country.alias("country"), x["province"].alias("province"), city.alias("city"), x["district"].alias("district"))
+
+    return let(F.struct(old.alias("old"), new.alias("new")), with_country)
+
+
 def fallback(old: dict[str, Column], new: dict[str, Column]) -> dict[str, Column]:
-    """ADR3: each new field that is valid, else the old one; a municipality is its own city."""
-    country = F.when(valid_country(new["country"]), new["country"]).otherwise(old["country"])
-    province = F.when(valid_province(country, new["province"]), new["province"]).otherwise(old["province"])
-    city = F.when(valid_city(country, new["city"]), new["city"]).otherwise(old["city"])
-    district = F.when(valid_district(country, new["district"]), new["district"]).otherwise(old["district"])
-    differs = province.isin(MUNICIPALITIES) & (city != "") & (city != province)
-    city = F.when(differs, F.when(old["city"] != "", old["city"]).otherwise(province)).otherwise(city)
-    country = F.when((province == TAIWAN) & ~country.isin("", CHINA), CHINA).otherwise(country)
-    return {"country": country, "province": province, "city": city, "district": district}
+    """ADR3 with fields as columns of their own."""
+    both = settled(*(F.struct(*(g[f].alias(f) for f in FIELDS)) for g in (old, new)))
+    return {f: both[f] for f in FIELDS}
 
 
 def or_default(detail: Column, group: dict[str, Column]) -> dict[str, Column]:

@@ -69,24 +69,28 @@ def with_divisions(items: DataFrame, responses: DataFrame, key: str = "doc_id")
     tried = responses.filter((F.col("stage") == "address_admin") & (F.col("attempt") <= attempts.MAX_ATTEMPTS["address_admin"])).join(details, key)
     raw = F.from_json(jsonx.lenient_object(F.col("payload")), ", ".join(f"{n} string" for own in names.values() for n in own.values()))
     tried = tried.withColumn("_raw", raw)
-    ok, fixed = F.lit(True), {}
+    # Column by column, so that each step's expressions hold the one before as a column.
+    first = {f"_{g}_{f}": c for g in groups for f, c in address.or_default(F.col(f"{g}AddressDetail"), {f: text.strip(F.col(f"_raw.{n}")) for f, n in names[g].items()}).items()}
+    tried = tried.select(key, "attempt", *(f"{g}AddressDetail" for g in groups), *(c.alias(n) for n, c in first.items()))
+    place = lambda g: address.fold_place(F.concat_ws(" ", F.col(f"{g}AddressDetail"), F.col(f"_{g}_province"), F.col(f"_{g}_city"), F.col(f"_{g}_district")))
+    tried = tried.withColumns({f"_{g}_place": place(g) for g in groups})
+    tried = tried.withColumns({f"_{g}_hint": address.inferred_country(F.col(f"_{g}_place")) for g in groups})
+    own_country = lambda g: F.when(F.col(f"_{g}_country").isin("", address.CHINA) & (F.col(f"_{g}_hint") != ""), F.col(f"_{g}_hint")).otherwise(F.col(f"_{g}_country"))
+    tried = tried.withColumns({f"_{g}_country": own_country(g) for g in groups})
+    ok = F.lit(True)
     for g in groups:
-        detail = F.col(f"{g}AddressDetail")
-        own = address.or_default(detail, {f: text.strip(F.col(f"_raw.{n}")) for f, n in names[g].items()})
-        hint = address.inferred_country(address.fold_place(F.concat_ws(" ", detail, own["province"], own["city"], own["district"])))
-        own["country"] = F.when(own["country"].isin("", address.CHINA) & (hint != ""), hint).otherwise(own["country"])
-        ok &= F.startswith(address.reason(*own.values()), F.lit("ok"))
-        fixed |= {names[g][f]: c for f, c in own.items()}
-    tried = tried.select(key, "attempt", F.struct(*(c.alias(n) for n, c in fixed.items())).alias("_g"), ok.alias("_ok"))
+        ok &= F.startswith(address.reason(*(F.col(f"_{g}_{f}") for f in address.FIELDS)), F.lit("ok"))
+    tried = tried.select(key, "attempt", F.struct(*(F.col(f"_{g}_{f}").alias(names[g][f]) for g in groups for f in address.FIELDS)).alias("_g"), ok.alias("_ok"))
     best = tried.groupBy(key).agg(F.min_by(F.when(F.col("_ok"), F.col("_g")), F.when(F.col("_ok"), F.col("attempt"))).alias("_first"), F.max_by("_g", "attempt").alias("_last"))
     out = items.join(best, key, "left")
-    empty = dict.fromkeys(address.FIELDS, F.lit(""))
+    empty = F.struct(*(F.lit("").alias(f) for f in address.FIELDS))
+    last = lambda g: F.struct(*(F.coalesce(F.col(f"_last.{n}"), F.lit("")).alias(f) for f, n in names[g].items()))
+    out = out.withColumns({f"_{g}_back": F.when(F.col("_first").isNull(), address.settled(empty, last(g))) for g in groups})
+    settled = {}
     for g in groups:
-        last = {f: F.coalesce(F.col(f"_last.{n}"), F.lit("")) for f, n in names[g].items()}
-        backed = address.or_default(F.col(f"{g}AddressDetail"), address.fallback(empty, last))
-        for f, n in names[g].items():
-            out = out.withColumn(n, F.coalesce(F.col(f"_first.{n}"), backed[f], F.lit("")))
-    return out.drop("_first", "_last")
+        backed = address.or_default(F.col(f"{g}AddressDetail"), {f: F.col(f"_{g}_back.{f}") for f in address.FIELDS})
+        settled |= {n: F.coalesce(F.col(f"_first.{n}"), backed[f], F.lit("")) for f, n in names[g].items()}
+    return out.withColumns(settled).drop("_first", "_last", *(f"_{g}_back" for g in groups))
 
 
 def _finished(items: DataFrame, terms: DataFrame, responses: DataFrame, key: str) -> DataFrame:
