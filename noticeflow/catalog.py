@@ -78,6 +78,19 @@ def item_schema() -> T.StructType:
     return T.StructType([*(T.StructField(k, T.DataType.fromDDL(t)) for k, t in head), *(T.StructField(f.key, item_type(f)) for f in FIELDS)])
 
 
+def stage_prompt(stage: str, names: dict[str, str] | None = None) -> str:
+    """TXT17: what a client is asked for at a stage: the fields in order, with type, need and the name
+    given for them; answers are read by raw_schema and coerced, whatever they say."""
+    empty = {"string": '""', "number": "null", "boolean": "true or false", "array": "[]"}
+    wanted = fields(stage)
+    if not wanted:
+        raise ValueError(f"no fields of stage {stage}")
+    lines = ["Extract these fields from the input as one JSON object:"]
+    for i, f in enumerate(wanted, 1):
+        lines.append(f"{i}. {f.key}{' - ' + names[f.key] if names and f.key in names else ''} ({f.type}, {empty[f.type]} if absent){' required' if f.required else ''}")
+    return "\n".join([*lines, "Answer with the JSON alone."])
+
+
 def default(f: Field) -> Column:
     """PRJ1: what a missing field holds."""
     if f.key == "isEquipment":

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from noticeflow.functions.text import strip, strip_fences
 
 
+_END = "end of the text, 6f1d0c5e"
+
+
 def lenient_object(c: Column) -> Column:
     """JSN1: the JSON object in a text, from its first { to its last }; null if there is none."""
     inner = F.regexp_extract(strip_fences(c), r"(?s)(\{.*\})", 1)
@@ -42,6 +45,34 @@ def valid_url(c: Column) -> Column:
     return url_part(c, "PROTOCOL").isin("http", "https") & (url_part(c, "HOST") != "")
 
 
+def service_base(c: Column, root: str, under: str, endpoint: str) -> Column:
+    """URL1: the base of a service's url: `under` is added to one that ends in `root`, an endpoint
+    given by mistake goes; any other stays, without slashes at its end."""
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), "/+$", "")
+    return F.when(s.endswith(root), F.concat(s, F.lit(under))).when(s.endswith(root + under + endpoint), F.substr(s, F.lit(1), F.length(s) - len(endpoint))).otherwise(s)
+
+
+def json_or_absent(c: Column) -> Column:
+    """SRC15: a response's body where it is JSON, else null. Spark's parsers stop after a first value;
+    a text is whole where it and an end mark are the two items of a list."""
+    marked = F.concat(F.lit("["), c, F.lit(f', "{_END}"]'))
+    return F.when((F.json_array_length(marked) == 2) & (F.get_json_object(marked, "$[1]") == _END), c)
+
+
+def one_body(*modes: Column) -> Column:
+    """SRC15: whether a request has one kind of body at most."""
+    return sum((F.when(m.isNotNull(), 1).otherwise(0) for m in modes), F.lit(0)) <= 1
+
+
+def braced(c: Column) -> Column:
+    """SNK7: the JSON object of a text that may lack its outer braces, and of an envelope its `data`
+    where that is an object; null if there is none."""
+    s = strip(c)
+    whole = F.coalesce(json_or_absent(s), F.when((s != "") & ~s.startswith("{"), json_or_absent(F.concat(F.lit("{"), s, F.lit("}")))))
+    inner = F.get_json_object(whole, "$.data")
+    return F.when(whole.startswith("{"), F.when(inner.startswith("{") & json_or_absent(inner).isNotNull(), inner).otherwise(whole))
+
+
 def on_list_page(url: Column, list_url: Column) -> Column:
     """PRJ10: same scheme, host and path, and the same fragment if either has one."""
     same = F.lit(True)

@@ -92,3 +92,11 @@ def empty_quantity(c: Column) -> Column:
 def plain_number(c: Column) -> Column:
     """NUM12: a text as a number, thousands' commas aside; null for what isn't one."""
     return F.regexp_replace(strip(c), ",", "").try_cast("double")
+
+
+def script_number(c: Column) -> Column:
+    """NUM12: a number's text without commas: a whole one in digits alone, one with a point as a
+    double; null for what isn't one."""
+    s = F.replace(strip(c), F.lit(","), F.lit(""))
+    point = F.when(s.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double").cast("string"))
+    return F.coalesce(F.when(s.rlike(r"^[+-]?\d+$"), F.regexp_replace(F.regexp_replace(s, r"^(?:\+|(-))?0*(?=\d)", "$1"), "^-0$", "0")), point)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions.html import clean_flat_udf
@@ -74,8 +76,42 @@ def rebuilt(c: Column, parts: Column, new_body: Column) -> Column:
     return F.when(at == 0, unified(c)).otherwise(strip(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")))
 
 
+def rows(docs: DataFrame, key: str, source: str) -> DataFrame:
+    """TXT13 as a table function: key, pos, heading, heading_line, content, raw, a row a section."""
+    return docs.select(key, F.posexplode(sections(F.col(source))).alias("pos", "s")).select(key, "pos", "s.*")
+
+
+def stage_text(c: Column) -> Column:
+    """PRJ18, EXT2: primary and secondary, what a stage reads of a document: the first title's and the
+    first body's content under marks, and all other sections. A document without these, or with both
+    empty, is primary as a whole."""
+    body_of = lambda s: F.coalesce(s["heading"].contains(BODY), F.lit(False))
+    title_of = lambda s: F.coalesce(s["heading"].contains(TITLE), F.lit(False)) & ~body_of(s)
+
+    def place(parts: Column, wanted: Callable[[Column], Column]) -> Column:
+        return F.array_position(F.transform(parts, wanted), True)
+
+    def marked(mark: str, parts: Column, at: Column) -> Column:
+        content = F.get(parts["content"], (at - 1).cast("int"))
+        return F.when((at > 0) & (content != ""), F.concat(F.lit(f"【{mark}】\n"), content))
+
+    def cut(x: Column) -> Column:
+        parts, title_at, body_at = x["parts"], x["title_at"], x["body_at"]
+        primary = F.concat_ws("\n\n", marked(TITLE, parts, title_at), marked(BODY, parts, body_at))
+        others = F.filter(F.transform(parts["raw"], lambda r, i: F.when((i + 1 != title_at) & (i + 1 != body_at) & (r != ""), r)), lambda r: r.isNotNull())
+        return F.struct(
+            F.when(primary == "", x["whole"]).otherwise(primary).alias("primary"),
+            F.when(primary == "", "").otherwise(F.array_join(others, "\n\n")).alias("secondary"),
+        )
+
+    def placed(x: Column) -> Column:
+        return F.struct(x["whole"].alias("whole"), x["parts"].alias("parts"), place(x["parts"], title_of).alias("title_at"), place(x["parts"], body_of).alias("body_at"))
+
+    return let(let(let(unified(c), lambda s: F.struct(s.alias("whole"), sections(s).alias("parts"))), placed), cut)
+
+
 def primary_secondary(parts: Column) -> tuple[Column, Column]:
-    """PRJ18: title and body, and all other sections."""
+    """Title and body sections as they stand, and all others; what stages read is stage_text."""
     main = lambda s: F.coalesce(s["heading"].isin(TITLE, BODY) | s["heading"].contains(TITLE), F.lit(False))
     join = lambda xs: F.array_join(F.transform(xs, lambda s: s["raw"]), "\n\n")
     return join(F.filter(parts, main)), join(F.filter(parts, lambda s: ~main(s)))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeflow.functions.money import is_range, non_zero
 from noticeflow.functions.text import fold_empty
@@ -47,4 +48,4 @@ def call(rows: DataFrame, client: Callable[[str], str], prompt: str, out: str =
                     answers.append("")
             yield frame.assign(**{out: answers})
 
-    return rows.mapInPandas(run, rows.schema.add(out, "string"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

@@ -62,6 +62,20 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("model", at("input_cost_per_token").alias("input_cost"), at("cache_read_input_token_cost").alias("cached_cost"), at("output_cost_per_token").alias("output_cost"))
 
 
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """SRC19: category, template of each text file of a folder; a file's name is its category."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
+    return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("category"), F.col("value").alias("template"))
+
+
+def prompt(templates: DataFrame, category: str) -> str:
+    """The template of a category; an unknown one is an error."""
+    found = templates.filter(F.col("category") == category).first()
+    if found is None:
+        raise KeyError(f"no template for {category}")
+    return found["template"]
+
+
 def search_hits(answers: DataFrame, key: str = "org", payload: str = "payload") -> DataFrame:
     """SRC22, SET1: the hits of a search answer from wherever they stand, each url once, the first
     MAX_HITS."""

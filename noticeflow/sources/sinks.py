@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow.functions.answers import webhook_signature
 from noticeflow.functions.hashing import plain
+from noticeflow.functions.jsonx import braced
 from noticeflow.streaming.events import frame
 
 LOG_WORDS = ["error", "skip", "fail", "warn"]
@@ -72,6 +75,93 @@ def to_yaml(items: DataFrame, name: str = "yaml") -> DataFrame:
     return items.withColumn(name, dump(F.struct(*items.columns)))
 
 
+#: The columns of a record with their kinds; a mapping is the kinds of a list's rows.
+Kinds = dict[str, "str | dict[str, str]"]
+
+
+def record_kinds() -> Kinds:
+    """The kinds of the field catalog."""
+    from noticeflow import catalog
+    from noticeflow.functions import lots
+
+    row = lambda ddl: {f.name: "number" if f.dataType == T.DoubleType() else "string" for f in T.DataType.fromDDL(ddl).fields}
+    rows = {"lotProducts": row(lots.PRODUCT), "lotCandidates": row(lots.CANDIDATE)}
+    return {f.key: rows.get(f.key, f.type) for f in catalog.FIELDS}
+
+
+def _typed(value: object, kind: str) -> object:
+    """NUM12: a JSON value as a kind; texts of numbers lose their commas, what isn't one is null."""
+    if kind == "number":
+        if isinstance(value, (bool, int, float)):
+            return value
+        s = str(value).strip().replace(",", "") if isinstance(value, str) else ""
+        try:
+            return float(s) if "." in s else int(s)
+        except ValueError:
+            return None
+    if kind == "boolean":
+        return value.strip().lower() in ("true", "1", "yes", "是") if isinstance(value, str) else bool(value)
+    if kind == "array":
+        return value if isinstance(value, list) else []
+    return "" if value is None else str(value)
+
+
+def typed_record(raw: str, kinds: Kinds) -> dict:
+    """SNK7: a JSON object with exactly the wanted columns, in order, each of its kind."""
+    given = json.loads(raw)
+    out = {}
+    for name, kind in kinds.items():
+        value = given.get(name)
+        if isinstance(kind, dict):
+            out[name] = [{k: _typed(r.get(k), t) for k, t in kind.items()} for r in value if isinstance(r, dict)] if isinstance(value, list) else []
+        else:
+            out[name] = _typed(value, kind)
+    return out
+
+
+def typed_yaml(raw: Column, kinds: Kinds | None = None) -> Column:
+    """SNK7: JSON texts (as jsonx.braced takes them) as typed YAML with quoted texts; null where there
+    is no object."""
+    wanted = kinds or record_kinds()
+
+    @F.pandas_udf(T.StringType())
+    def dump(texts: pd.Series) -> pd.Series:
+        import yaml
+
+        class Quoted(yaml.SafeDumper):
+            """Keys are plain, texts quoted."""
+
+            def represent_mapping(self, tag, mapping, flow_style=None):
+                node = super().represent_mapping(tag, mapping, flow_style)
+                for key, value in node.value:
+                    key.style = None
+                    if value.tag == "tag:yaml.org,2002:str":
+                        value.style = '"'
+                return node
+
+            def ignore_aliases(self, data):
+                return True
+
+        return texts.map(lambda s: None if s is None else yaml.dump(typed_record(s, wanted), Dumper=Quoted, allow_unicode=True, default_flow_style=False, sort_keys=False, width=float("inf")))
+
+    return dump(braced(raw))
+
+
+def alerting(send: Callable[[dict], None], secret: str = "", clock: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
+    """SNK6: a foreachBatch function that sends each row's `text` as a signed message by a sender of
+    your own; there is no address by default. Rows come one by one, as alerts are few a day."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.select("text").toLocalIterator():
+            message = {"msg_type": "text", "content": {"text": row["text"]}}
+            if secret:
+                at = int(clock())
+                message |= {"timestamp": str(at), "sign": webhook_signature(secret, at)}
+            send(message)
+
+    return run
+
+
 def log_lines(steps: DataFrame, column: str = "memory", words: list[str] = LOG_WORDS) -> DataFrame:
     """SNK4: the steps whose text holds one of the words."""
     return steps.filter(F.lower(column).rlike("|".join(words)))

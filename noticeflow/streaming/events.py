@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 # Event types, limits.
@@ -38,6 +40,40 @@ def silences(events: DataFrame, session: list[str], ts: str, order: list[str], s
     return events.withColumn("last_ts", last).withColumn("gap_s", gap).filter(F.col("gap_s") >= seconds).withColumn("heartbeats", F.floor(F.col("gap_s") / seconds))
 
 
+def with_heartbeats(events: DataFrame, session: str, kind: str = "event_type", seconds: int = HEARTBEAT_SECONDS) -> DataFrame:
+    """STM4: a stream's events (session, kind) and a heartbeat for each so many seconds of processing
+    time without any, until a terminal one. State is one flag a session and goes with its end."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield pd.DataFrame({session: [key[0]], kind: ["heartbeat"]})
+        else:
+            ended = False
+            for frame in frames:
+                ended |= bool(frame[kind].isin(TERMINAL).any())
+                yield frame[[session, kind]]
+            if ended:
+                if state.exists:
+                    state.remove()
+                return
+        state.update((True,))
+        state.setTimeoutDuration(seconds * 1000)
+
+    rows = events.select(session, kind)
+    return rows.groupBy(session).applyInPandasWithState(run, rows.schema, "live boolean", "append", "ProcessingTimeTimeout")
+
+
+def stage_seconds(marks: DataFrame, run: str, stage: str, ts: str, order: list[str]) -> DataFrame:
+    """AGG10: how long each stage of a run took, from its mark to the next one; the last mark only
+    ends the stage before. A row `total` holds the whole run."""
+    at = F.col(ts).cast("timestamp")
+    seconds = lambda a, b: F.round((F.unix_micros(b) - F.unix_micros(a)) / 1e6, 3)
+    following = F.lead(at).over(W.partitionBy(run).orderBy(ts, *order))
+    each = marks.select(run, F.col(stage).alias("stage"), seconds(at, following).alias("seconds")).filter("seconds is not null")
+    whole = marks.groupBy(run).agg(F.lit("total").alias("stage"), seconds(F.min(at), F.max(at)).alias("seconds"))
+    return each.unionByName(whole)
+
+
 def timed_out(ts: Column, start: Column, seconds: int = TIMEOUT_SECONDS) -> Column:
     """STM3"""
     return (F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(start.cast("timestamp"))) >= seconds
