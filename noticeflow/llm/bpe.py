@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Growing, HashIndex, chunks, columns, give_back, mix, span_hashes, text_bytes
+from .common import Growing, HashIndex, chunks, code_points, columns, give_back, mix, span_hashes, text_bytes
 
 WORD_END = "</w>"
 #: Words that a worker keeps: the table is emptied at the first chunk after it holds more.
@@ -378,15 +378,6 @@ def _odd(data: np.ndarray, kind: np.ndarray, latin: np.ndarray) -> np.ndarray:
     return odd
 
 
-def code_points(data: np.ndarray, leads: np.ndarray) -> np.ndarray:
-    """The code points of the characters that start at leads."""
-    b = [data[np.minimum(leads + i, len(data) - 1)].astype(np.int32) for i in range(4)]
-    two = (b[0] & 0x1F) << 6 | b[1] & 0x3F
-    three = (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F
-    four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | b[3] & 0x3F
-    return np.minimum(np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))), 0x10FFFF)
-
-
 class Encoder:
     """Texts to ids and labels, as the tokenizers library encodes with this vocabulary file and
     no special tokens added; truncation and padding play no part."""

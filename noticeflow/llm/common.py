@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +38,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_WITHIN: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside, but for those to keep, are removed at the end; by then
+    nothing may be left to compute from them."""
+    folder = f"{scratch_dir(spark)}/noticeflow/{uuid.uuid4().hex}"
+    token = _WITHIN.set(folder)
+    try:
+        yield
+    finally:
+        _WITHIN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to shared storage and read it back: lineage ends there, lost executors
-    cost nothing, and later readers prune columns."""
+    cost nothing, and later readers prune columns. keep: whatever scratch() it is made in."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/noticeflow/{name}-{uuid.uuid4().hex}"
+    folder = None if keep else _WITHIN.get()
+    path = f"{folder or scratch_dir(spark) + '/noticeflow'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -231,6 +251,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def code_points(data: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """The code points of the characters that start at leads."""
+    b = [data[np.minimum(leads + i, len(data) - 1)].astype(np.int32) for i in range(4)]
+    two = (b[0] & 0x1F) << 6 | b[1] & 0x3F
+    three = (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F
+    four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | b[3] & 0x3F
+    return np.minimum(np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))), 0x10FFFF)
+
+
 def split_words(texts: pa.Array) -> Words:
     data, offsets = text_bytes(texts)
     inside = ~SPACE[data]

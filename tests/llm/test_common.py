@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -59,3 +60,14 @@ def test_own_folder_only_where_none_is_set(spark):
     assert common.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = common.materialize(spark.range(5), "x")
     assert df.inputFiles()[0].removeprefix("file://").startswith(common.scratch_dir(spark)) and df.count() == 5
+
+
+def test_scratch_tables_go_but_for_those_to_keep(spark):
+    with common.scratch(spark):
+        gone = common.materialize(spark.range(5), "x")
+        kept = common.materialize(gone, "y", keep=True)
+        path = os.path.dirname(gone.inputFiles()[0].removeprefix("file://"))
+        assert os.path.isdir(path)
+    assert not os.path.exists(os.path.dirname(path)) and kept.count() == 5
+    after = common.materialize(spark.range(3), "z")
+    assert os.path.dirname(path) not in after.inputFiles()[0] and after.count() == 3
