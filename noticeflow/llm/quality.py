@@ -3,9 +3,11 @@
 Rules look at a text's counts and vote: 1 (good), -1 (bad) or 0 (abstain). How often each rule votes
 which way on good and on bad texts is estimated by expectation-maximisation over the votes of all
 documents, without labels, starting from a guess (DEFECT, MERIT) that also counts as a prior worth
-PRIOR of the documents; a rule's vote can't count against its own meaning. A text is kept if it passes the base rules and its posterior probability of being good is at
-least KEEP. Documents come in as counts of vote patterns (at most 3 to the number of rules), so the
-estimation doesn't grow with the corpus.
+PRIOR of the documents; a rule's vote can't count against its own meaning. A text is kept if it
+passes the base rules and its posterior probability of being good is at least KEEP. Documents come in
+as counts of vote patterns (at most 3 to the number of rules), so the estimation doesn't grow with
+the corpus. Letters and capitals are Unicode's, so emoji, currency signs and punctuation of any
+script aren't letters.
 
 Defined results: null text counts as empty: all counts 0, base_failed. Repeated rows give repeated
 results; a null id stays null. An empty table gives no rows.
@@ -14,24 +16,44 @@ results; a null id stays null. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, gram_hashes, materialize, mix, span_hashes, split_words
+from .common import chunks, code_points, columns, gram_hashes, materialize, mix, span_hashes, split_words
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 PRIOR, DEFECT, MERIT, GOOD, KEEP, ROUNDS = 0.05, 0.95, 0.6, 0.8, 0.5, 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_letter_words", "n_ended_lines")
-_SYMBOL, _LETTER, _UPPER, _END = (np.zeros(256, bool) for _ in range(4))
+_SYMBOL, _END = (np.zeros(256, bool) for _ in range(2))
 _SYMBOL[list(b"#*$%&|<>")] = True
-_UPPER[ord("A") : ord("Z") + 1] = True
-_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1] = _LETTER[0xC3:] = True  # a letter's first byte, roughly
 _END[list(b".!?:;\"')")] = True
 
 
+@cache
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, and a capital, by Unicode's categories."""
+    letter, upper = (np.zeros(0x110000, bool) for _ in range(2))
+    for i in range(0x110000):
+        c = chr(i)
+        letter[i], upper[i] = c.isalpha(), c.isupper()
+    return letter, upper & letter
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a letter, and a capital, starts at each byte."""
+    letter, upper = _alphabet()
+    out = [np.where(data < 0x80, x[:256][data], False) for x in (letter, upper)]
+    leads = np.flatnonzero(data >= 0xC0)
+    points = code_points(data, leads)
+    for flags, x in zip(out, (letter, upper), strict=True):
+        flags[leads] = x[points]
+    return out[0], out[1]
+
+
 def _sum(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(values)])
 
@@ -55,7 +77,8 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     per_doc = lambda flags, edges: (s := _sum(flags))[edges[1:]] - s[edges[:-1]]
     salt = mix(np.arange(1, n + 1, dtype=np.uint64))
     lead = _sum((data & 0xC0) != 0x80)
-    letters = _sum(_LETTER[data])
+    letter, upper = _letters(data)
+    letters = _sum(letter)
     out = {"n_words": words, "word_chars": per_doc(lead[w.ends] - lead[w.starts], w.first), "n_symbols": per_doc(_SYMBOL[data], w.offsets)}
 
     # Lines: cut at line feeds and where texts begin.
@@ -81,7 +104,7 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = per_doc(np.cumsum(step[:-1]) > 0, w.first)
 
     out["n_letters"] = letters[w.offsets[1:]] - letters[w.offsets[:-1]]
-    out["n_upper"] = per_doc(_UPPER[data], w.offsets)
+    out["n_upper"] = per_doc(upper, w.offsets)
     out["n_letter_words"] = per_doc(letters[w.ends] > letters[w.starts], w.first)
     return out
 

@@ -29,6 +29,25 @@ def test_counts_like_the_plain_way(texts):
     assert [tuple(int(got[c][i]) for c in BASE) for i in range(len(texts) + 1)] == [plain(t) for t in [*texts, None]]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aZéÉжЖ日한ß€😀。「#7 \n", max_size=40), max_size=4))
+def test_letters_are_those_of_unicode(texts):
+    got = quality.text_counts(pa.array([*texts, None], pa.string()))
+    for i, t in enumerate([*texts, ""]):
+        letters = [c for c in t if c.isalpha()]
+        with_letter = [x for x in t.split() if any(c.isalpha() for c in x)]
+        assert (got["n_letters"][i], got["n_upper"][i], got["n_letter_words"][i]) == (len(letters), sum(c.isupper() for c in letters), len(with_letter))
+
+
+def test_signs_and_emoji_are_junk_and_other_scripts_are_not(spark):
+    good = [f"Слово номер {'абвгдежзик'[i % 10]}{i} стоит в этом длинном предложении, и оно ничем не плохо." for i in range(40)]
+    junk = " ".join(f"😀€{i} 「。」{i} ₽₽{i}" for i in range(40))
+    shout = " ".join(f"{'ЩЖБДГЛ'[i % 6] * 4} ÉÀÇ{i}" for i in range(60))
+    rows = [*enumerate(good), (100, junk), (101, shout)]
+    kept = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("kept").collect()}
+    assert kept == set(range(40))
+
+
 def test_estimation_finds_accuracies_and_classes():
     rnd = np.random.default_rng(7)
     good = rnd.random(40_000) < 0.75
