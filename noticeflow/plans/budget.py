@@ -16,10 +16,24 @@ def daily_budget(usage: DataFrame, ts: Column, cost: Column, limit_usd: float, t
 
 
 def running_spend(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float, timezone: str = BUDGET_ZONE) -> DataFrame:
-    """WIN3: each call with its day's spend so far, and whether the latch is set by then."""
-    w = W.partitionBy("day").orderBy(ts, key).rowsBetween(W.unboundedPreceding, 0)
-    spent = usage.withColumn("day", budget_day(F.col(ts), timezone)).withColumn("running", F.sum(cost).over(w))
-    return spent.withColumn("stopped", F.max(F.col("running") >= limit_usd).over(w))
+    """WIN3: each call with its day's spend so far, and whether the latch is set by then. Sums run
+    within minutes, all over the cluster, and over the minutes of a day, of which there are few; so no
+    task has a whole day's calls."""
+    so_far = W.unboundedPreceding
+    minute = W.partitionBy("day", "_minute").orderBy(ts, key).rowsBetween(so_far, 0)
+    calls = usage.withColumn("day", budget_day(F.col(ts), timezone)).withColumn("_minute", F.date_trunc("minute", F.col(ts)))
+    calls = calls.withColumn("_spent", F.sum(cost).over(minute)).withColumn("_most", F.max("_spent").over(minute))
+    earlier = W.partitionBy("_day").orderBy("_at").rowsBetween(so_far, -1)
+    minutes = calls.groupBy(F.col("day").alias("_day"), F.col("_minute").alias("_at")).agg(F.sum(cost).alias("_sum"), F.max("_most").alias("_peak"))
+    minutes = minutes.withColumn("_before", F.sum("_sum").over(earlier)).withColumn("_top", F.max(_plus("_before", "_peak")).over(earlier))
+    out = calls.join(minutes, F.col("day").eqNullSafe(F.col("_day")) & F.col("_minute").eqNullSafe(F.col("_at")), "left")
+    top = F.greatest("_top", _plus("_before", "_most"))
+    return out.withColumn("running", _plus("_before", "_spent")).withColumn("stopped", top >= F.lit(limit_usd)).drop("_minute", "_spent", "_most", "_day", "_at", "_sum", "_peak", "_before", "_top")
+
+
+def _plus(a: str, b: str) -> Column:
+    """The sum, in which null counts as nothing; null if both are."""
+    return F.coalesce(F.col(a) + F.col(b), a, b)
 
 
 def alerts(usage: DataFrame, ts: str, cost: str, key: str, limit_usd: float, timezone: str = BUDGET_ZONE) -> DataFrame:

@@ -81,9 +81,14 @@ def timed_out(ts: Column, start: Column, seconds: int = TIMEOUT_SECONDS) -> Colu
 
 def delivered(events: DataFrame, order: list[str], kind: str = "event_type", most: int = QUEUE, by: str = "batch") -> DataFrame:
     """SNK3, STM1: of each batch at most so many items get through and the rest are marked dropped;
-    control events always do."""
-    n = F.row_number().over(W.partitionBy(by, F.col(kind) == "item").orderBy(*order))
-    return events.withColumn("dropped", (F.col(kind) == "item") & (n > most))
+    control events always do. The order must tell a batch's events apart. Only the first items of
+    each task are ranked together, and their last one decides on all others."""
+    n = F.row_number().over(W.partitionBy(by).orderBy(*order))
+    place = F.struct(*order)
+    first = events.filter(F.col(kind) == "item").select(F.col(by).alias("_by"), place.alias("_place"), n.alias("_n")).filter(F.col("_n") <= most)
+    last = first.groupBy("_by").agg(F.max("_place").alias("_last"))
+    known = events.join(last, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return known.withColumn("dropped", F.coalesce((F.col(kind) == "item") & ~(place <= F.col("_last")), F.lit(False))).drop("_by", "_last")
 
 
 def read_events(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 1) -> DataFrame:

@@ -1,6 +1,8 @@
 """The normalise and crawl plans on recorded answers; streams against batches."""
 
 import json
+import random
+from datetime import datetime
 
 import pytest
 from pyspark.errors import PySparkException
@@ -111,6 +113,35 @@ def test_a_file_for_each_notice(spark, tmp_path):
     assert sinks.write_files(files.limit(0), tmp_path.as_uri()) == 0
 
 
+def test_running_spend_like_one_by_one(spark):
+    rnd = random.Random(4)
+    costs = [None, 0.25, 0.5, 1.0, 2.0, -1.0]
+    rows = [(i, datetime(2026, 1, rnd.randint(1, 3), rnd.randint(0, 23), rnd.randint(0, 59), rnd.randint(0, 3)), rnd.choice(costs)) for i in range(600)]
+    rows += [(600 + i, datetime(2026, 1, 2, 12, 0, i % 2), rnd.choice(costs)) for i in range(100)] + [(700, None, 1.0), (701, None, None)]
+    got = {r.k: (r.running, r.stopped) for r in budget.running_spend(spark.createDataFrame(rows, "k int, ts timestamp_ntz, v double"), "ts", "v", "k", 20.0, "UTC").collect()}
+    want, sums, most = {}, {}, {}
+    for k, ts, v in sorted(rows, key=lambda r: (r[1] or datetime.min, r[0])):
+        day = ts and ts.date()
+        if v is not None:
+            sums[day] = sums.get(day, 0.0) + v
+        if sums.get(day) is not None:
+            most[day] = max(most.get(day, sums[day]), sums[day])
+        want[k] = (sums.get(day), None if day not in most else most[day] >= 20)
+    assert got == want and {s for _, s in got.values()} >= {True, False}
+
+
+def test_delivered_like_one_by_one(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice(["item", "item", "control"]), rnd.choice([None, *range(30)])) for i in range(400)] + [(400, "c", "item", 1), (401, "d", "control", 1), (402, "a", None, 5)]
+    out = ev.delivered(spark.createDataFrame(rows, "id int, batch string, kind string, t int"), ["t", "id"], "kind", 20)
+    assert out.columns == ["id", "batch", "kind", "t", "dropped"]
+    want, n = {}, {}
+    for i, batch, kind, _ in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[0])):
+        n[batch] = n.get(batch, 0) + (kind == "item")
+        want[i] = kind == "item" and n[batch] > 20
+    assert {r.id: r.dropped for r in out.collect()} == want and any(want.values())
+
+
 def test_budget_days_are_those_of_the_zone(spark):
     rows = spark.createDataFrame([("2026-01-01 15:59:59", 1.0, 1), ("2026-01-01 16:00:00", 2.0, 2)], "t string, v double, k int").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     old = spark.conf.get("spark.sql.session.timeZone")
