@@ -184,12 +184,12 @@ def _without(docs: DataFrame, id_col: str, text_col: str = "text", length_col: s
     marked = docs.join(cuts, docs[id_col] == F.col(of_col), "left").drop(of_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = batch.column(cut_col)
-            own = batch.select([c for c in batch.schema.names if c != cut_col])
+        for part in (x for batch in batches for x in chunks(batch, text_col)):
+            cuts = part.column(cut_col)
+            own = part.select([c for c in part.schema.names if c != cut_col])
             rows = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
             if len(rows):
-                texts, keep = own.column(text_col).to_pylist(), np.ones(batch.num_rows, bool)
+                texts, keep = own.column(text_col).to_pylist(), np.ones(part.num_rows, bool)
                 lengths = own.column(length_col).to_pylist() if length_col in own.schema.names else None
                 for i in rows.tolist():
                     text, at, parts = texts[i] or "", 0, []
@@ -205,5 +205,6 @@ def _without(docs: DataFrame, id_col: str, text_col: str = "text", length_col: s
                     own = own.set_column(own.schema.get_field_index(length_col), length_col, pa.array(lengths, own.column(length_col).type))
                 own = own.filter(pa.array(keep))
             yield own
+        give_back()
 
     return marked.mapInArrow(run, docs.schema)
