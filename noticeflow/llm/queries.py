@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and their SQL where SQL can express them."""
+"""The queries op1_ to op13_ and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, nearest, packing, pii, quality, sharding, suffixes, urls
+from . import bpe, langid, minhash, nearest, negatives, packing, pii, quality, sharding, suffixes, urls
 from .common import documents
 
 
@@ -51,9 +51,15 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(documents(spark, sf_dir))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nearest": nearest.SQL}
+    return {"op4_nearest": nearest.SQL, "op11_negatives": negatives.SQL}
