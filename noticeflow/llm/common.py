@@ -55,13 +55,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to shared storage and read it back: lineage ends there, lost executors
     cost nothing, and later readers prune columns. keep: whatever scratch() it is made in."""
     spark = df.sparkSession
     folder = None if keep else _WITHIN.get()
     path = f"{folder or scratch_dir(spark) + '/noticeflow'}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
