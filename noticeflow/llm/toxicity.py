@@ -33,8 +33,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -57,6 +58,8 @@ SPELLED = 3
 CACHE_WORDS = 500_000
 #: Features that are multiplied with the landmarks' at once.
 BLOCK = 1 << 15
+#: Words that are compared with candidates at once.
+NEAR_WORDS = 1 << 13
 #: The machine's cost of an error; rounds of choosing positive sentences; the ridge of the last fit.
 COST, ROUNDS, RIDGE = 3000.0, 3, 1e-2
 #: Standard errors that make a landmark telling, the kernel value from which two say the same, and that
@@ -306,16 +309,21 @@ def candidates(strings: list[list[str]], words: np.ndarray, docs: np.ndarray, to
     return list(dict.fromkeys(first + by_hash(set(bad))))[:most]
 
 
-def telling(found: list[str], near: np.ndarray, words: np.ndarray, docs: np.ndarray, toxic: np.ndarray, kernel: Kernel, most: int) -> list[str]:
+def telling(found: list[str], near: Callable[[int, int], np.ndarray], words: np.ndarray, docs: np.ndarray, toxic: np.ndarray, kernel: Kernel, most: int) -> list[str]:
     """Candidates that more of the words of toxic documents are near to than of clean ones', best first,
-    none close to a better one. near: words x candidates."""
-    pairs, times = np.unique(np.stack([docs, words], axis=1), axis=0, return_counts=True)
+    none close to a better one. near(a, b): words a to b x candidates."""
+    pairs, times = np.unique(np.stack([words // NEAR_WORDS, docs, words], axis=1), axis=0, return_counts=True)
     share = np.zeros((len(toxic), len(found)), np.float32)
-    near = np.where(near > NEAR, near, 0)
-    for a in range(0, len(pairs), BLOCK):
-        part = pairs[a : a + BLOCK]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:, 0] != part[:-1, 0]]))
-        share[part[starts, 0]] += np.add.reduceat(near[part[:, 1]] * times[a : a + BLOCK, None].astype(np.float32), starts, axis=0)
+    for block in range(int(words.max(initial=-1)) // NEAR_WORDS + 1):
+        a, b = np.searchsorted(pairs[:, 0], [block, block + 1])
+        part = pairs[a:b]
+        close = near(block * NEAR_WORDS, (block + 1) * NEAR_WORDS)
+        close[close <= NEAR] = 0
+        for at in range(0, len(part), NEAR_WORDS):
+            own = part[at : at + NEAR_WORDS]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:, 1] != own[:-1, 1]]))
+            each = close[own[:, 2] - block * NEAR_WORDS] * times[a + at : a + at + len(own), None].astype(np.float32)
+            share[own[starts, 1]] += np.add.reduceat(each, starts, axis=0)
     share /= np.maximum(1, np.bincount(docs, minlength=len(toxic)))[:, None]
     bad, good = share[toxic > 0], share[toxic == 0]
     z = (bad.mean(axis=0) - good.mean(axis=0)) / np.sqrt(bad.var(axis=0) / len(bad) + good.var(axis=0) / len(good) + 1e-12)
@@ -345,24 +353,24 @@ def fit(sentences: list[str], docs: np.ndarray, toxic: np.ndarray, m: int = LAND
     strings = [strings_of(w) for w in vocabulary]
     flat, of = [s for own in strings for s in own], np.repeat(np.arange(len(strings)), [len(s) for s in strings])
 
-    def near(kernel: Kernel) -> np.ndarray:
+    def near(kernel: Kernel, first: int, last: int) -> np.ndarray:
         """words x landmarks: of each word's strings the nearest."""
-        out = np.zeros((len(strings), len(kernel.landmarks)), np.float32)
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
-        for a in range(0, len(starts), BLOCK):
-            ends = np.append(starts, len(of))[min(a + BLOCK, len(starts))]
-            out[of[starts[a : a + BLOCK]]] = np.maximum.reduceat(kernel(flat[starts[a] : ends]), starts[a : a + BLOCK] - starts[a], axis=0)
+        a, b = np.searchsorted(of, [first, min(last, len(strings))])
+        out = np.zeros((min(last, len(strings)) - first, len(kernel.landmarks)), np.float32)
+        if a < b:
+            starts = np.flatnonzero(np.concatenate([[True], of[a + 1 : b] != of[a : b - 1]]))
+            out[of[a:b][starts] - first] = np.maximum.reduceat(kernel(flat[a:b]), starts, axis=0)
         return out
 
     label = np.zeros(docs.max() + 1, np.int64)
     label[docs] = toxic
     wide = Kernel(candidates(strings, which, docs[sentence], label, 3 * m))
-    tells = telling(wide.landmarks, near(wide), which, docs[sentence], label, wide, m * 3 // 4)
+    tells = telling(wide.landmarks, partial(near, wide), which, docs[sentence], label, wide, m * 3 // 4)
     kernel = Kernel(list(dict.fromkeys(tells + by_hash(set(flat))))[:m])
     square = kernel(kernel.landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(np.where(values > 1e-6, 1, 0) / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    each = near(kernel)
+    each = np.concatenate([near(kernel, a, a + NEAR_WORDS) for a in range(0, len(strings), NEAR_WORDS)])
     x = np.concatenate([each @ root, np.ones((len(each), 1))], axis=1)
     clean = np.bincount(which[toxic[sentence] == 0], minlength=len(strings))
     per_clean = (toxic == 0).sum() / max(1, (toxic > 0).sum())
@@ -385,16 +393,18 @@ def fit(sentences: list[str], docs: np.ndarray, toxic: np.ndarray, m: int = LAND
     return kernel, root @ w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, docs_of_label: int = TRAIN_DOCS, sentences: int = SENTENCES) -> Model | float:
-    """docs: text, toxic (0 or 1) and key (what the bound goes by; not a feature). A share of toxic
-    labels where they are of one kind."""
-    labelled = docs.filter("toxic is not null").select("key", "text", (F.col("toxic") != 0).cast("int").alias("toxic"))
-    counts = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, docs_of_label: int = TRAIN_DOCS, sentences: int = SENTENCES) -> Model | float:
+    """docs: key (not a feature), text; labels: key, toxic (0 or 1), with none held out. A share of
+    toxic labels where they are of one kind. Labels are drawn first, by hash of the key, so that what
+    meets the texts is broadcast whatever the tables' size: 2 x docs_of_label rows in expectation."""
+    labels = labels.filter("key is not null and toxic is not null").select("key", (F.col("toxic") != 0).cast("int").alias("toxic")).distinct()
+    counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(max(counts, default=0))
     share = F.when(F.col("toxic") == 1, min(1.0, docs_of_label / counts[1])).otherwise(min(1.0, docs_of_label / counts[0]))
     by = F.xxhash64("key", F.lit("toxicity"))
-    chosen = labelled.filter(F.pmod(by, F.lit(1 << 20)) < share * (1 << 20)).withColumn("seed", by)
+    drawn = labels.filter(F.pmod(by, F.lit(1 << 20)) < share * (1 << 20))
+    chosen = docs.select("key", "text").join(F.broadcast(drawn), "key").withColumn("seed", by)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,8 +447,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels is learned from with each."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1 if held_out is None else held_out, F.lit(False))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out)
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).alias("toxic")).filter("toxic is not null")
-    model = train(own.filter(~F.col("held_out")).join(known, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic"))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(toxic_col).alias("toxic")).filter(~held_out)
+    model = train(own.withColumnRenamed("doc_id", "key"), known.withColumnRenamed("doc_id", "key"))
     names = ["doc_id", "held_out", "score", "predicted", "n_sentences", "n_toxic", *["worst"] * with_worst]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
