@@ -48,7 +48,7 @@ from .common import Growing, HashIndex, Words, chunks, give_back, mix, span_hash
 ORDER, SPAN, DECAY, POWER = 4, 6, 0.7, 2
 LANDMARKS = 160
 #: Documents of each label that are learned from, and sentences of each (in expectation).
-TRAIN_DOCS, SENTENCES = 1000, 40
+TRAIN_DOCS, SENTENCES = 600, 30
 #: Words of a sentence without an end mark.
 LONGEST = 12
 #: Characters of a word that are looked at together, and how far apart the next ones start.
@@ -57,7 +57,7 @@ WINDOW, STRIDE = 32, 16
 SPELLED = 3
 CACHE_WORDS = 500_000
 #: Features that are multiplied with the landmarks' at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 14
 #: Words that are compared with candidates at once.
 NEAR_WORDS = 1 << 13
 #: The machine's cost of an error; rounds of choosing positive sentences; the ridge of the last fit.
@@ -263,16 +263,24 @@ def sentences_of(batch: pa.RecordBatch, scorer: Scorer, bias: float) -> tuple[np
 # ---------------------------------------------------------------- training
 
 
-def newton(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Weights that make |w|^2 / 2 + sum c max(0, 1 - y x.w)^2 least; the last column is not shrunk."""
+def newton(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Weights w that make |w|^2 / 2 + sum c max(0, 1 - y x[rows].w)^2 least; the last column is not
+    shrunk. Works through the rows in blocks."""
     keep = np.eye(x.shape[1])
     keep[-1, -1] = 1e-6
-    w, inside = np.zeros(x.shape[1]), np.ones(len(x), bool)
-    for _ in range(30):
-        a = x[inside] * c[inside, None]
-        new = np.linalg.solve(keep + 2 * a.T @ x[inside], 2 * a.T @ y[inside])
-        again = y * (x @ new) < 1
-        w = new if _ < 5 else (w + new) / 2
+    w, inside = np.zeros(x.shape[1]), np.ones(len(rows), bool)
+    for step in range(30):
+        square, right = keep.copy(), np.zeros(x.shape[1])
+        at = np.flatnonzero(inside)
+        for a in range(0, len(at), NEAR_WORDS):
+            own = at[a : a + NEAR_WORDS]
+            part = x[rows[own]].astype(np.float64)
+            weighed = part * c[own, None]
+            square += 2 * weighed.T @ part
+            right += 2 * weighed.T @ y[own]
+        new = np.linalg.solve(square, right)
+        w = new if step < 5 else (w + new) / 2
+        again = np.concatenate([y[a : a + NEAR_WORDS] * (x[rows[a : a + NEAR_WORDS]] @ w) < 1 for a in range(0, len(rows), NEAR_WORDS)])
         if (again == inside).all():
             break
         inside = again
@@ -312,18 +320,19 @@ def candidates(strings: list[list[str]], words: np.ndarray, docs: np.ndarray, to
 def telling(found: list[str], near: Callable[[int, int], np.ndarray], words: np.ndarray, docs: np.ndarray, toxic: np.ndarray, kernel: Kernel, most: int) -> list[str]:
     """Candidates that more of the words of toxic documents are near to than of clean ones', best first,
     none close to a better one. near(a, b): words a to b x candidates."""
-    pairs, times = np.unique(np.stack([words // NEAR_WORDS, docs, words], axis=1), axis=0, return_counts=True)
+    # one number for each pair of a document and a word, block of words by block
+    packed, times = np.unique((words // NEAR_WORDS * len(toxic) + docs) * NEAR_WORDS + words % NEAR_WORDS, return_counts=True)
     share = np.zeros((len(toxic), len(found)), np.float32)
     for block in range(int(words.max(initial=-1)) // NEAR_WORDS + 1):
-        a, b = np.searchsorted(pairs[:, 0], [block, block + 1])
-        part = pairs[a:b]
+        a, b = np.searchsorted(packed, np.array([block, block + 1]) * len(toxic) * NEAR_WORDS)
+        doc, word = np.divmod(packed[a:b] - block * len(toxic) * NEAR_WORDS, NEAR_WORDS)
         close = near(block * NEAR_WORDS, (block + 1) * NEAR_WORDS)
         close[close <= NEAR] = 0
-        for at in range(0, len(part), NEAR_WORDS):
-            own = part[at : at + NEAR_WORDS]
-            starts = np.flatnonzero(np.concatenate([[True], own[1:, 1] != own[:-1, 1]]))
-            each = close[own[:, 2] - block * NEAR_WORDS] * times[a + at : a + at + len(own), None].astype(np.float32)
-            share[own[starts, 1]] += np.add.reduceat(each, starts, axis=0)
+        for at in range(0, len(doc), NEAR_WORDS):
+            own = doc[at : at + NEAR_WORDS]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            each = close[word[at : at + NEAR_WORDS]] * times[a + at : a + at + len(own), None].astype(np.float32)
+            share[own[starts]] += np.add.reduceat(each, starts, axis=0)
     share /= np.maximum(1, np.bincount(docs, minlength=len(toxic)))[:, None]
     bad, good = share[toxic > 0], share[toxic == 0]
     z = (bad.mean(axis=0) - good.mean(axis=0)) / np.sqrt(bad.var(axis=0) / len(bad) + good.var(axis=0) / len(good) + 1e-12)
@@ -371,7 +380,7 @@ def fit(sentences: list[str], docs: np.ndarray, toxic: np.ndarray, m: int = LAND
     values, vectors = np.linalg.eigh((square + square.T) / 2)
     root = vectors @ np.diag(np.where(values > 1e-6, 1, 0) / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     each = np.concatenate([near(kernel, a, a + NEAR_WORDS) for a in range(0, len(strings), NEAR_WORDS)])
-    x = np.concatenate([each @ root, np.ones((len(each), 1))], axis=1)
+    x = np.concatenate([each @ root.astype(np.float32), np.ones((len(each), 1), np.float32)], axis=1)
     clean = np.bincount(which[toxic[sentence] == 0], minlength=len(strings))
     per_clean = (toxic == 0).sum() / max(1, (toxic > 0).sum())
     negative = np.flatnonzero(clean)
@@ -388,7 +397,7 @@ def fit(sentences: list[str], docs: np.ndarray, toxic: np.ndarray, m: int = LAND
         own = np.flatnonzero(positive)
         y = np.concatenate([np.ones(len(own)), -np.ones(len(negative))])
         weight = np.concatenate([positive[own], clean[negative] / RATIO]) / positive.sum()
-        w = newton(np.concatenate([x[own], x[negative]]), y, COST * weight)
+        w = newton(x, np.concatenate([own, negative]), y, COST * weight)
         margins = x @ w
     return kernel, root @ w[:-1], float(w[-1])
 
