@@ -21,6 +21,10 @@ along with the matching if their tokens take no more than MAX_RULES rules of MAX
 tokens of TOKEN_BYTES would; else matching joins them by
 their rarest class.
 
+What is learned from: a page that a fixed rule decides has the rule's verdict as its label, as that is
+known of its url; any other has that of its text, if there is one. Rules so carry what the fixed ones
+say of some hosts over to urls of other hosts that look like theirs.
+
 Defined results: a null url or one without `://` has empty host and path, no rule and no tokens: it
 is allowed. Without labels nothing is mined. Labels are of documents; a label counts for the page whose
 page_id equals its doc_id, and one without such a page for nothing. Rows that repeat give repeated results; a null page_id
@@ -128,15 +132,27 @@ def blocked_by(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(hits, F.col("url") == F.col("_url"), "left").withColumn("blocked", F.col("_url").isNotNull())
 
 
+def with_labels(source: DataFrame, labels: DataFrame, label_id: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """The pages that something is known of: page_id, tokens and bad. source: page_id, host, path and
+    tokens; a page is bad if its fixed rule blocks it or, without one, if toxic is 1 or quality is 0."""
+    known = labels.select(F.col(label_id).alias("page_id"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("_bad")).filter("page_id is not null").groupBy("page_id").agg(F.max("_bad").alias("_bad"))
+    _, verdict = fixed(F.col("host"), F.col("path"), rules)
+    joined = source.filter("page_id is not null").join(known, "page_id", "left")
+    return joined.select("page_id", "tokens", F.coalesce(verdict == "block", "_bad").alias("bad")).filter("bad is not null")
+
+
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rules: list[tuple[str, str, str]] = RULES, **options: float) -> DataFrame:
     """A row for each row of pages: page_id, host, path, rule, verdict. labels: label_id with quality
-    and toxic; a page is bad if toxic is 1 or quality is 0."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    source = columns(pages, page_id=id_col, url=url_col).withColumn("host", host).withColumn("path", path)
-    source = source.withColumn("tokens", F.when(F.col("host") != "", tokens(F.col("url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>")))
-    known = labels.select(F.col(label_id).alias("page_id"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad")).filter("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    labelled = materialize(source.select("page_id", "tokens").join(known, "page_id").select("tokens", "bad"), "labelled")
-    mined = mine_classes(labelled, **options)
+    and toxic."""
+    source = parsed(pages, id_col, url_col)
+    mined = mine_classes(materialize(with_labels(source, labels, label_id, rules).select("tokens", "bad"), "labelled"), **options)
     out = source.withColumn("blocked", F.lit(False)) if mined is None or mined.isEmpty() else blocked_by(source, mined)
     rule, verdict = fixed(F.col("host"), F.col("path"), rules)
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
+
+
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, url, host, path, tokens."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    source = columns(pages, page_id=id_col, url=url_col).withColumn("host", host).withColumn("path", path)
+    return source.withColumn("tokens", F.when(F.col("host") != "", tokens(F.col("url"), F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>")))

@@ -134,3 +134,28 @@ def test_query(spark):
     for r in rows:
         want = plain(pages[r.page_id])
         assert (r.host, r.path, r.rule) == want[:3] and r.verdict in ("allow", "block") and (want[3] is None or r.verdict == want[3])
+
+
+def test_mined_rules_on_held_out_pages(spark):
+    """On the real table rules are mined, decide pages that no fixed rule does, and hold on pages that
+    weren't learned from."""
+    sf = "/root/testdata/sf0.1"
+    pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels"))
+    source = urls.parsed(pages)
+    known = urls.with_labels(source, labels, "doc_id", urls.RULES).cache()
+    held = F.crc32(F.col("page_id").cast("string")) % 3 == 0
+    rules = urls.mine_classes(known.filter(~held).select("tokens", "bad"))
+    assert rules is not None and rules.count() >= 10
+    out = urls.blocked_by(known.filter(held).join(source.select("page_id", "url"), "page_id"), rules)
+    n = {(r.bad, r.blocked): r["count"] for r in out.groupBy("bad", "blocked").count().collect()}
+    assert n[True, True] / (n[True, True] + n[False, True]) >= 0.75 and n[True, True] / (n[True, True] + n[True, False]) >= 0.6
+    verdicts = {r.verdict: r["count"] for r in urls.judge(pages, labels).filter("rule is null").groupBy("verdict").count().collect()}
+    assert verdicts["block"] > 50 and verdicts["allow"] > 50
+
+
+def test_fixed_verdicts_are_learned_from(spark):
+    rows = [(i, f"http://h{i % 3}.com/en/x", None) for i in range(20)] + [(100, "http://a.com/fr/x", None), (101, "http://a.com/fr/x", None), (None, "http://b.com/en/x", None), (102, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, bad int")
+    labels = spark.createDataFrame([(0, 1, 0), (100, 0, 0), (101, 1, None), (102, 1, 1), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
+    known = {r.page_id: r.bad for r in urls.with_labels(urls.parsed(pages), labels, "doc_id", urls.RULES).collect()}
+    assert known == {**dict.fromkeys(range(20), True), 100: True, 101: False, 102: True}
