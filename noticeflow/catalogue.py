@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _all() -> None:
     """The other modules register their queries when they are first imported."""
-    from noticeflow import catalogue_inputs, catalogue_records, catalogue_texts  # noqa: F401
+    from noticeflow import catalogue_inputs, catalogue_records, catalogue_sessions, catalogue_texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -169,3 +169,24 @@ def test_streams_like_batches(spark, tmp_path):
     ev.run_available(ev.daily_spend_stream(stream, "ts", "value", "1000 days"), str(tmp_path / "c2"), lambda df, _: spent.update({r.day: r.spent for r in df.collect()}), "update").awaitTermination(60)
     want = {r.day: r.s for r in events.groupBy(F.to_date("ts").alias("day")).agg(F.sum("value").alias("s")).collect()}
     assert {k: round(v, 6) for k, v in spent.items()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_search_rounds(spark):
+    """Answers that come in round 3, and in the last one, which may not search any more."""
+    search, other, nothing = [("web_search", "q")], [("browse", "q")], [("web_search", " ")]
+    answer = lambda url: '{"parentOrgName": "P", "confidence": 0.9, "sourceUrls": ["%s"]}' % url
+    rows = [("late", i, search, None) for i in range(3)] + [("late", 3, None, answer("u2")), ("late", 4, [], answer("no"))]
+    rows += [("last", i, search, None) for i in range(answers.MAX_ROUNDS)] + [("last", answers.MAX_ROUNDS, search, answer("u9")), ("last", answers.MAX_ROUNDS + 1, [], answer("no"))]
+    rows += [("never", 0, [], answer("u0")), ("open", 0, search, None), ("open", 1, search, None)]
+    rows += [("other", 0, search, None), ("other", 1, search + other, None), ("other", 2, [], answer("u0")), ("blank", 0, nothing + other, None)]
+    rounds = spark.createDataFrame(rows, "org string, round int, tools array<struct<name: string, query: string>>, payload string")
+    got = {r.org: (r.outcome, r.round) for r in answers.search_rounds(rounds).collect()}
+    assert got == {"late": ("answered", 3), "last": ("answered", 10), "never": ("no_search", 0), "open": ("no_answer", None), "other": ("unsupported_tool", 1), "blank": ("empty_query", 0)}
+    hits = [("late", 2, 0, "u2", "second"), ("late", 1, 5, "u2", "first"), ("late", 3, 0, "no", "after"), ("last", 9, 1, "u9", "ninth"), ("last", 10, 0, "u9", "after")]
+    hits = spark.createDataFrame(hits, "org string, round int, pos int, url string, title string")
+    said = spark.createDataFrame([("late", "parent", 1, answer("x")), ("late", "affiliate", 1, '{"affiliateOrgName": "A"}')], "org string, stage string, attempt int, payload string")
+    orgs = rounds.select("org").distinct()
+    out = {r.org: r for r in answers.searched_parents(orgs, rounds, said, hits).collect()}
+    assert len(out) == 6 and (out["late"].affiliate, out["late"].parent) == ("A", "P")
+    assert [tuple(s) for s in out["late"].sources] == [("first", "u2")] and [tuple(s) for s in out["last"].sources] == [("ninth", "u9")]
+    assert all(out[k].parent is None for k in ("never", "open", "other", "blank"))
