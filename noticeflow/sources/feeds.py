@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 from itertools import count
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 
@@ -22,7 +22,8 @@ class PagedFeed(DataSource):
     parameter objects, each a partition of its own; method, GET or POST (a form); next_field, where a
     page's JSON names the next one, and next_param, how it is asked for (without next_field a query
     has one page); headers, a JSON object; timeout in seconds. A task that runs again asks again. A
-    status of 400 and more ends its query, with the body as a row."""
+    status of 400 and more ends its query, with the body as a row. As a stream, one page of each query a
+    batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -34,6 +35,9 @@ class PagedFeed(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return FeedReader(dict(self.options))
 
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+        return FeedStream(dict(self.options))
+
 
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
@@ -94,3 +98,43 @@ class FeedReader(DataSourceReader):
                 raise ValueError(f"the feed names the page {token} twice")
             seen.add(token)
             parameters[self.next_param] = token
+
+
+class FeedStream(SimpleDataSourceStreamReader):
+    """SRC14 as a stream: the offset holds, for each query, its next page and what to ask for it by, and
+    whether it has ended; so a run that resumes from a checkpoint asks for the pages after those it
+    has committed. A failed batch is asked for again. Pages pass through the driver, one a query a batch."""
+
+    def __init__(self, options: dict[str, str]):
+        self.feed = FeedReader(options)
+
+    def initialOffset(self) -> dict:
+        return {str(q.number): {"page": 0, "token": "", "ended": False} for q in self.feed.partitions()}
+
+    def _next(self, start: dict) -> tuple[list[tuple[int, int, int, str]], dict]:
+        rows, end = [], {}
+        for q in self.feed.partitions():
+            at = start.get(str(q.number)) or {"page": 0, "token": "", "ended": False}
+            if not at["ended"]:
+                asked = q.parameters | ({self.feed.next_param: at["token"]} if at["token"] else {})
+                status, body = self.feed._ask(asked)
+                rows.append((q.number, at["page"], status, body))
+                token = self.feed._following(body) if self.feed.next_field and status < 400 else ""
+                if token and token == at["token"]:
+                    raise ValueError(f"the feed names the page {token} twice")
+                at = {"page": at["page"] + 1, "token": token, "ended": not token}
+            end[str(q.number)] = at
+        return rows, end
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self._next(start)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        at = start
+        while at != end:
+            rows, following = self._next(at)
+            yield from rows
+            if following == at:
+                return
+            at = following
