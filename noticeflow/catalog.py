@@ -43,8 +43,8 @@ def stage_name(stage: str | None) -> str:
     return "meta" if (stage or "") in LEGACY_STAGES else stage
 
 
-def fields(stage: str | None = None) -> list[Field]:
-    return [f for f in FIELDS if stage is None or f.stage == stage_name(stage)]
+def fields(stage: str | None = None, own: list[Field] | None = None) -> list[Field]:
+    return [f for f in (FIELDS if own is None else own) if stage is None or f.stage == stage_name(stage)]
 
 
 def fields_from_yaml(source: str, stage: str | None = None) -> list[Field]:
@@ -67,15 +67,16 @@ def item_type(f: Field) -> T.DataType:
     return T.DataType.fromDDL(named.get(f.key, kinds.get(f.type, "string")))
 
 
-def raw_schema(stage: str) -> T.StructType:
+def raw_schema(stage: str, own: list[Field] | None = None) -> T.StructType:
     """The schema by which a recorded answer is read: texts, and rows of texts, coerced later."""
     named = {"lotProducts": lots.RAW_PRODUCTS, "lotCandidates": lots.RAW_CANDIDATES}
-    return T.StructType([T.StructField(f.key, T.DataType.fromDDL(named.get(f.key, "string"))) for f in fields(stage)])
+    kind = lambda f: named.get(f.key, "array<string>" if f.type == "array" else "string")
+    return T.StructType([T.StructField(f.key, T.DataType.fromDDL(kind(f))) for f in fields(stage, own)])
 
 
-def item_schema() -> T.StructType:
+def item_schema(own: list[Field] | None = None) -> T.StructType:
     head = [("dataId", "string"), ("version", "int"), ("inputTruncated", "boolean"), *((k, "string") for k in ENVELOPE)]
-    return T.StructType([*(T.StructField(k, T.DataType.fromDDL(t)) for k, t in head), *(T.StructField(f.key, item_type(f)) for f in FIELDS)])
+    return T.StructType([*(T.StructField(k, T.DataType.fromDDL(t)) for k, t in head), *(T.StructField(f.key, item_type(f)) for f in fields(own=own))])
 
 
 def stage_prompt(stage: str, names: dict[str, str] | None = None) -> str:
@@ -119,6 +120,8 @@ def coerced(f: Field, c: Column) -> Column:
         return lots.products(c)
     if f.key == "lotCandidates":
         return lots.candidates(c)
+    if f.type == "array":
+        return F.filter(F.transform(c, text.fold_empty), lambda x: x != "")
     if f.type == "number":
         return money.to_yuan(c)
     if f.type == "boolean":
@@ -126,11 +129,12 @@ def coerced(f: Field, c: Column) -> Column:
     return text.fold_empty(c)
 
 
-def conform(items: DataFrame) -> DataFrame:
-    """PRJ1, PRJ2: the record's columns in order; unknown ones go, missing ones get defaults."""
+def conform(items: DataFrame, own: list[Field] | None = None) -> DataFrame:
+    """PRJ1, PRJ2: the record's columns in order; unknown ones go, missing ones get defaults. own: the
+    fields of another catalog."""
     have = set(items.columns)
     out = [(F.coalesce(F.col("dataId"), F.lit("")) if "dataId" in have else F.lit("")).alias("dataId"), F.lit(VERSION).alias("version"), (F.coalesce(F.col("inputTruncated"), F.lit(False)) if "inputTruncated" in have else F.lit(False)).alias("inputTruncated")]
     out += [(text.strip(F.col(k).cast("string")) if k in have else F.lit("")).alias(k) for k in ENVELOPE]
-    for f in FIELDS:
+    for f in fields(own=own):
         out.append((F.coalesce(F.col(f.key).cast(item_type(f)), default(f)) if f.key in have else default(f)).alias(f.key))
     return items.select(*out, *(c for c in ("doc_id", "outcome_code") if c in have))

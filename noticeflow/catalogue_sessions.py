@@ -1,4 +1,5 @@
-"""Queries over sessions, first sightings and search rounds, on the event table's own rows."""
+"""Queries over sessions, first sightings and search rounds, on the event table's own rows, and
+records of a second field catalog."""
 
 from __future__ import annotations
 
@@ -8,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.catalogue import query, table
-from noticeflow.plans import answers
+from noticeflow import catalog
+from noticeflow.plans import answers, normalize
 from noticeflow.streaming import sessions as ss
 
 UNTIL = datetime(2024, 1, 20)
@@ -60,3 +62,34 @@ def q_search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = table(spark, sf_dir, "events").select("user_id", place, tools.alias("tools"), F.col("event_id").cast("string").alias("payload"))
     ended = answers.search_rounds(rounds, "user_id")
     return ended.select("user_id", "outcome", "round", F.col("payload").cast("bigint").alias("answer"))
+
+
+SECOND_CATALOG = """
+fields:
+  - {key: lotCount, name: lots, type: number, stage: size}
+  - {key: tongue, name: language, stage: flat, required: true}
+  - {key: isToxic, name: toxic, type: boolean, stage: flags}
+  - {key: marks, name: marks, type: array, stage: flags}
+  - {key: announcementType, name: type}
+"""
+
+
+# Other fields, stages and types than the module's own; labels are the recorded answers.
+@query("""select d.doc_id, 't' || d.doc_id as "announcementName", coalesce(d.source, '-') as "announcementContent", cast(l.quality as double) * 10000 as "lotCount", case when l.doc_id is null then '' else coalesce(d.lang, '') end as tongue,
+coalesce(l.toxic = 1, false) as "isToxic", case when l.doc_id is null then '' when d.doc_id % 3 = 0 then '中标' else '招标' end as "announcementType",
+case when l.doc_id is null then '' when l.quality = 1 then 'a,q1' else 'a,q0' end as marks, false as "inputTruncated" from documents d left join labels l on d.doc_id = l.doc_id""")
+def q_second_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = catalog.fields_from_yaml(SECOND_CATALOG)
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    sources = docs.select("doc_id", F.concat(F.lit("# 标题\n"), F.lit("t"), k, F.lit("\n# 正文\n"), F.coalesce("source", F.lit("-"))).alias("source_text"))
+    known = table(spark, sf_dir, "labels").join(docs.select("doc_id", "lang"), "doc_id")
+    said = lambda stage, attempt, **values: F.struct(F.lit(stage).alias("stage"), F.lit(attempt).alias("attempt"), F.to_json(F.struct(*(v.alias(n) for n, v in values.items()))).alias("payload"))
+    q, t = F.col("quality").cast("string"), F.col("toxic").cast("string")
+    kind = F.when(F.col("doc_id") % 3 == 0, "不明").otherwise("招标公告")
+    rows = F.array(
+        said("size", 1, lotCount=F.concat(q, F.lit("万元"))), said("size", 2, lotCount=F.lit("7")), said("flags", 1, isToxic=t, marks=F.array(F.lit(" a "), F.lit("无"), F.concat(F.lit("q"), q))),
+        said("meta", 1, tongue=F.coalesce("lang", F.lit("无")), announcementType=kind), said("type_repair", 1, announcementType=F.lit("中标公告")), said("contacts", 1, buyerName=F.lit("not asked")),
+    )
+    responses = known.select("doc_id", F.explode(rows).alias("a")).select("doc_id", "a.*")
+    out = normalize.extracted(sources, responses, own)
+    return out.select("doc_id", "announcementName", "announcementContent", "lotCount", "tongue", "isToxic", "announcementType", F.array_join("marks", ",").alias("marks"), "inputTruncated")

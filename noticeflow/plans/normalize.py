@@ -15,18 +15,20 @@ STAGES = ("meta", "contacts", "address_detail", "lots")
 OUTCOMES = ["not_on_detail_page", "skipped_duplicate", "extract_content_empty", "skipped_non_gongchengjixie", "skipped_invalid_announcement_type", "success"]
 
 
-def staged(docs: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
+def staged(docs: DataFrame, responses: DataFrame, key: str = "doc_id", own: list[catalog.Field] | None = None) -> DataFrame:
     """JON9, PRJ4: documents with the raw fields of every stage, from each stage's first answer in
-    one aggregation; missing answers leave nulls. Flags of cut inputs are ORed (AGG2)."""
-    wide = responses.filter(F.col("stage").isin(*STAGES)).groupBy(key).agg(
-        *(F.min_by(F.when(F.col("stage") == s, F.col("payload")), F.when(F.col("stage") == s, F.col("attempt"))).alias(f"_{s}") for s in STAGES),
+    one aggregation; missing answers leave nulls. Flags of cut inputs are ORed (AGG2). own: another
+    catalog, whose stages are its own."""
+    stages = STAGES if own is None else tuple(dict.fromkeys(f.stage for f in own))
+    wide = responses.filter(F.col("stage").isin(*stages)).groupBy(key).agg(
+        *(F.min_by(F.when(F.col("stage") == s, F.col("payload")), F.when(F.col("stage") == s, F.col("attempt"))).alias(f"_{s}") for s in stages),
         *([F.max("input_truncated").alias("_cut")] if "input_truncated" in responses.columns else []),
     )
     joined = docs.join(wide, key, "left")
-    for s in STAGES:
-        joined = joined.withColumn(f"_{s}", F.from_json(jsonx.lenient_object(F.col(f"_{s}")), catalog.raw_schema(s)))
+    for s in stages:
+        joined = joined.withColumn(f"_{s}", F.from_json(jsonx.lenient_object(F.col(f"_{s}")), catalog.raw_schema(s, own)))
     cut = F.coalesce(F.col("_cut"), F.lit(False)) if "_cut" in joined.columns else F.lit(False)
-    fields = [catalog.coerced(f, F.col(f"_{f.stage}.{f.key}")).alias(f.key) for f in catalog.FIELDS if f.stage in STAGES]
+    fields = [catalog.coerced(f, F.col(f"_{f.stage}.{f.key}")).alias(f.key) for f in catalog.fields(own=own) if f.stage in stages]
     return joined.select(*docs.columns, cut.alias("inputTruncated"), *fields)
 
 
@@ -117,6 +119,20 @@ def normalize(sources: DataFrame, responses: DataFrame, terms: DataFrame, key: s
     return hashing.with_data_id(catalog.conform(done.withColumnRenamed(key, "doc_id")))
 
 
+def extracted(sources: DataFrame, responses: DataFrame, own: list[catalog.Field], key: str = "doc_id") -> DataFrame:
+    """SRC17: records of another catalog (catalog.fields_from_yaml): its fields from its stages' first
+    answers, each coerced by its type, after the title and body of the source; a type of notice is
+    repaired where the catalog has one, and rows of lots are completed where it has both kinds."""
+    docs = sources.withColumn("_parts", sections.sections(F.col("source_text")))
+    docs = docs.select(key, sections.title(F.col("_parts")).alias("announcementName"), sections.cleaned_body(sections.body(F.col("_parts"))).alias("announcementContent"))
+    items, have = staged(docs, responses, key, own), {f.key for f in own}
+    if {"lotProducts", "lotCandidates"} <= have:
+        items = items.withColumn("lotProducts", lots.supplemented(F.col("lotProducts"), F.col("lotCandidates")))
+    if "announcementType" in have:
+        items = with_type(items, responses, key)
+    return hashing.with_data_id(catalog.conform(items.withColumnRenamed(key, "doc_id"), own))
+
+
 def _settled_pages(known: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """JON1, WIN1 after content: key, _content and _fresh of the pages whose key isn't in the ledger.
     A page counts as seen once it has content, so one that arrives empty leaves its key to the next.
