@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from noticeflow.functions.text import strip
 # What separates terms of a row, and several values of an answer.
 TERM_SEPARATORS = "[、,，]+"
 VALUE_SEPARATORS = "[、,，;；/|\n]+"
+#: Bytes of terms up to which an automaton of them is sent along with the subjects.
+AUTOMATON_BYTES = 32 << 20
 TRUE_ANSWERS = ["true", "yes", "1", "是", "匹配", "符合"]
 
 
@@ -37,19 +42,47 @@ def exact_term(subjects: DataFrame, terms: DataFrame, subject: str = "subject")
     return subjects.join(first, folded(F.col(subject)) == F.col("_key"), "left").drop("_key")
 
 
-def contained_term(subjects: DataFrame, terms: DataFrame, key: str, subject: str = "subject") -> DataFrame:
-    """JON4: the longest term that a subject contains, the first in the table of these. Each subject
-    is cut into its pieces of the lengths that terms have, so this is an equi-join."""
+def contained_term(subjects: DataFrame, terms: DataFrame, key: str, subject: str = "subject", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """JON4: the longest term that a subject contains, the first in the table of these; null where
+    there is none. One pass over each subject with an automaton of all terms; a table of more than
+    automaton_bytes is joined with the subjects' pieces instead."""
+    known = terms.filter("term is not null and term != ''")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("n")).first().n
+    if size == 0:
+        return subjects.withColumn("matched_term", F.lit(None).cast("string"))
+    if size > automaton_bytes:
+        return _joined_term(subjects, known, key, subject)
+    ranked = [r.term for r in known.groupBy("term").agg(F.min(F.struct("row_no", "term_pos")).alias("at")).orderBy(F.length("term").desc(), "at").select("term").collect()]
+    return subjects.withColumn("matched_term", F.pandas_udf(first_contained(ranked), "string")(F.col(subject)))
+
+
+def first_contained(ranked: list[str]) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    """The function that finds, for each text, the first of the terms, in their order, that it holds."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, term in enumerate(ranked):
+            automaton.add_word(term, i)
+        automaton.make_automaton()
+        for texts in batches:
+            found = (None if t is None else min((i for _, i in automaton.iter(t)), default=None) for t in texts)
+            yield pd.Series([None if i is None else ranked[i] for i in found], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return run
+
+
+def _joined_term(subjects: DataFrame, terms: DataFrame, key: str, subject: str) -> DataFrame:
+    """Each subject is cut into its pieces of the lengths that terms have, so this is an equi-join."""
     sizes = [r.n for r in terms.select(F.length("term").alias("n")).distinct().collect()]  # a term's lengths: few
 
     def of_size(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(subject) - n + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.substring(F.col(subject), i, F.lit(n)))
 
-    pieces = [of_size(n) for n in sorted(sizes)]
-    if not pieces:
-        return subjects.withColumn("matched_term", F.lit(None).cast("string"))
-    found = subjects.select(key, F.explode(F.array_distinct(F.concat(*pieces))).alias("term")).join(terms, "term")
+    found = subjects.select(key, F.explode(F.array_distinct(F.concat(*(of_size(n) for n in sorted(sizes))))).alias("term")).join(terms, "term")
     best = found.groupBy(key).agg(F.min_by("term", F.struct(-F.length("term"), "row_no", "term_pos")).alias("matched_term"))
     return subjects.join(best, key, "left")
 
