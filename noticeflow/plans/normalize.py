@@ -143,9 +143,25 @@ def _settled_pages(known: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, "_content", (F.coalesce(F.count_if(F.col("_content") != "").over(earlier), F.lit(0)) == 0).alias("_fresh"))
 
 
+def _without_rejected(responses: DataFrame, key: str) -> DataFrame:
+    """PRJ13: answers without those of rejected pages' later stages, so that their contacts, addresses,
+    lots and repairs are never read, ranked or joined. A page is rejected if the first machinery answer
+    says no and its first meta answer names a project; both come from the answers alone."""
+    early = ("meta", "machinery")
+    first = lambda s: F.min_by(F.when(F.col("stage") == s, F.col("payload")), F.when(F.col("stage") == s, F.col("attempt")))
+    told = responses.filter(F.col("stage").isin(*early)).groupBy(key).agg(first("meta").alias("_meta"), first("machinery").alias("_machine"))
+    named = text.fold_empty(F.get_json_object(jsonx.lenient_object(F.col("_meta")), "$.projectName")) != ""
+    rejected = told.filter((F.lower(F.get_json_object("_machine", "$.isMachinery")) == "false") & named).select(key)
+    later = responses.filter(~F.col("stage").isin(*early)).join(rejected, key, "left_anti")
+    return responses.filter(F.col("stage").isin(*early)).unionByName(later)
+
+
 def crawl(pages: DataFrame, responses: DataFrame, terms: DataFrame, ledger: DataFrame, machinery_only: bool = False, key: str = "doc_id") -> DataFrame:
     """The crawl plan: pages (key, url, list_url, title, list_date, html, arrival) to records. Every
-    page keeps a row; outcome_code says how it ended (PRJ15), in the order of OUTCOMES."""
+    page keeps a row; outcome_code says how it ended (PRJ15), in the order of OUTCOMES. Rejected pages
+    hold what the meta stage said of them."""
+    if machinery_only:
+        responses = _without_rejected(responses, key)
     file_date = dates.normalize_date(F.col("list_date"))
     known = pages.withColumn("detail_key", jsonx.detail_key(F.col("url"), F.col("title"), file_date)).withColumn("_list", jsonx.on_list_page(F.col("url"), F.col("list_url")))
     settled = _settled_pages(known.filter(~F.col("_list")), ledger, key)

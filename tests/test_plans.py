@@ -86,6 +86,12 @@ def test_crawl_outcomes(spark, responses):
     assert "推土机" in out[1].announcementContent
     kept = plan.crawl(pages, responses, terms, ledger).filter("doc_id = 4").first()
     assert kept.outcome_code == "success"
+    # Later stages of rejected pages are gone before anything reads them; all others' are there.
+    more = responses.unionByName(spark.createDataFrame([(i, "contacts", 1, '{"buyerName": "b"}') for i in (1, 4)], "doc_id bigint, stage string, attempt int, payload string"), allowMissingColumns=True)
+    left = plan._without_rejected(more, "doc_id")
+    assert {(r.doc_id, r.stage) for r in more.collect()} - {(r.doc_id, r.stage) for r in left.collect()} == {(r.doc_id, r.stage) for r in more.collect() if r.doc_id == 4 and r.stage not in ("meta", "machinery")} != set()
+    routed = {r.doc_id: r for r in plan.crawl(pages, more, terms, ledger, machinery_only=True).filter("doc_id in (1, 4)").collect()}
+    assert routed[4].buyerName == "" and routed[4].projectName != "" and routed[1].buyerName == "b"
     # A key whose first page arrives empty is free for the next one.
     again = spark.createDataFrame([(20 + i, "http://a.b/d/20", "http://a.b/l", "t", None, h, i) for i, h in enumerate(["<script>x</script>", "<style>y</style>", HTML, "<script>z</script>", HTML])], pages.schema)
     out = {r.doc_id: r.outcome_code for r in plan.crawl(again, responses.withColumn("doc_id", F.when(F.col("doc_id") == 1, 22).otherwise(0).cast("bigint")), terms, ledger).collect()}
