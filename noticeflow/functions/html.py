@@ -290,13 +290,3 @@ markdown_udf = _strings(markdown)
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("truncated", T.BooleanType())]))
 def clean_for_extraction_udf(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([clean_for_extraction(x if isinstance(x, str) else None) for x in s], columns=["text", "truncated"])
-
-
-def combined(header: str, main: str) -> str:
-    """TXT11: a page's header block before its main block, unless either holds the other."""
-    a, b = ("".join(plain_text(x).split()) for x in (header, main))
-    if not a or a in b:
-        return main
-    if not b or b in a:
-        return header
-    return f"{header}\n{main}"
