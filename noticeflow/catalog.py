@@ -137,4 +137,4 @@ def conform(items: DataFrame, own: list[Field] | None = None) -> DataFrame:
     out += [(text.strip(F.col(k).cast("string")) if k in have else F.lit("")).alias(k) for k in ENVELOPE]
     for f in fields(own=own):
         out.append((F.coalesce(F.col(f.key).cast(item_type(f)), default(f)) if f.key in have else default(f)).alias(f.key))
-    return items.select(*out, *(c for c in ("doc_id", "outcome_code") if c in have))
+    return items.select(*out, *(c for c in ("doc_id", "outcome_code", "detail_key") if c in have))

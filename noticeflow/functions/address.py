@@ -117,11 +117,20 @@ def or_default(detail: Column, group: dict[str, Column]) -> dict[str, Column]:
     return {k: F.when(none, CHINA if k == "country" else "").otherwise(c) for k, c in group.items()}
 
 
+def _folded(x: str | None) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", (x or "").strip()) if not unicodedata.combining(c)).lower()
+
+
 @F.pandas_udf(T.StringType())
 def fold_place(s: pd.Series) -> pd.Series:
     """TXT15: lower case without diacritics."""
-    fold = lambda x: "".join(c for c in unicodedata.normalize("NFKD", (x or "").strip()) if not unicodedata.combining(c)).lower()
-    return s.map(fold)
+    return s.map(_folded)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def fold_places(s: pd.Series) -> pd.Series:
+    """TXT15 of each of several texts."""
+    return s.map(lambda xs: None if xs is None else [_folded(x) for x in xs])
 
 
 def inferred_country(folded: Column) -> Column:

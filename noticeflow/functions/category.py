@@ -42,6 +42,32 @@ def exact_term(subjects: DataFrame, terms: DataFrame, subject: str = "subject")
     return subjects.join(first, folded(F.col(subject)) == F.col("_key"), "left").drop("_key")
 
 
+def lookup(terms: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> Callable[[Column, Column, Column], Column] | None:
+    """CAT2-4 for a notice's rows at once: a function of their folded subjects, and of the places and
+    payloads of recorded answers, that gives arrays: term (equal but for white space, the first in the
+    table), answer (of the row's place, the first of several), known (whether the answer is a term).
+    None if the table has more than most_bytes."""
+    known = terms.filter("term is not null")
+    if known.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("n")).first().n > most_bytes:
+        return None
+    rows = known.select("term", folded(F.col("term")).alias("key")).orderBy("row_no", "term_pos").collect()
+    exact = {r.key: r.term for r in reversed(rows)}
+    names = {r.term for r in rows}
+
+    @F.pandas_udf("term array<string>, answer array<string>, known array<boolean>")
+    def look(subjects: pd.Series, places: pd.Series, payloads: pd.Series) -> pd.DataFrame:
+        out = {"term": [], "answer": [], "known": []}
+        for own, at, said in zip(subjects, places, payloads, strict=True):
+            answers = dict(zip(reversed(at), reversed(said), strict=True))
+            got = [answers.get(i) for i in range(len(own))]
+            out["term"].append([exact.get(x) for x in own])
+            out["answer"].append(got)
+            out["known"].append([a in names for a in got])
+        return pd.DataFrame(out)
+
+    return lambda subjects, places, payloads: look(F.coalesce(subjects, F.array()), places, F.transform(payloads, lambda p: F.get_json_object(p, "$.productCategory")))
+
+
 def contained_term(subjects: DataFrame, terms: DataFrame, key: str, subject: str = "subject", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """JON4: the longest term that a subject contains, the first in the table of these; null where
     there is none. One pass over each subject with an automaton of all terms; a table of more than
@@ -99,6 +125,11 @@ def selected(prompt: Column, answer: Column) -> Column:
     return F.when(F.upper(strip(prompt)) == "ALL", True).otherwise(F.lower(strip(answer)).isin(TRUE_ANSWERS))
 
 
+def settled(term: Column, answer: Column, known: Column, given: Column) -> Column:
+    """The exact term, else the answer's value, else what the row says itself, else ''."""
+    return F.coalesce(term, answer_value(answer, answer_kind(answer, known)), given, F.lit(""))
+
+
 def answer_value(answer: Column, kind: Column) -> Column:
     """CAT4: the first value of several; any other answer as it is."""
     s = strip(answer)

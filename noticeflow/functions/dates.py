@@ -22,6 +22,11 @@ def normalize_date(c: Column) -> Column:
     return let(fold_empty(c), first)
 
 
+def file_date(c: Column) -> Column:
+    """PRJ12: the date under which a notice is filed: the normalised one, else the text with dashes."""
+    return F.coalesce(F.nullif(normalize_date(c), F.lit("")), F.translate(c, "/.", "--"), F.lit(""))
+
+
 def bid_open_date(c: Column) -> Column:
     """DAT2: a text that is a date of the calendar in the form YYYY-MM-DD, else null."""
     return let(fold_empty(c), lambda s: F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(s, "yyyy-MM-dd").isNotNull(), s))

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 # The fields that don't count.
 NOT_HASHED = ["dataId", "version", "inputTruncated"]
+#: Columns beside a record's own.
+BESIDES = ["doc_id", "outcome_code", "detail_key"]
 
 
 def canonical(record: dict) -> str:
@@ -30,10 +32,10 @@ def plain(x):
     return None if isinstance(x, float) and x != x else x
 
 
-def with_data_id(items: DataFrame, name: str = "dataId") -> DataFrame:
+def with_data_id(items: DataFrame, name: str = "dataId", besides: list[str] = BESIDES) -> DataFrame:
     """HSH1: items with the SHA-256 of their canonical JSON, exact to the byte: numbers print as they
     do in that form, which Spark's own JSON doesn't match, so this is an Arrow function."""
-    fields = [f for f in items.columns if f not in NOT_HASHED]
+    fields = [f for f in items.columns if f not in NOT_HASHED and f not in besides]
 
     @F.pandas_udf(T.StringType())
     def digest(rows: pd.DataFrame) -> pd.Series:

@@ -95,6 +95,11 @@ def lot_number(c: Column) -> Column:
     return F.get(F.filter(lots, lambda x: x.isNotNull()), F.lit(0))
 
 
+def _lot_of_row(r: Column) -> Column:
+    named = F.array_compact(F.transform(F.array(r["lotNumber"], r["lotName"]), lot_number))
+    return F.coalesce(F.get(named, F.lit(0)), F.lit(DEFAULT_LOT))
+
+
 def lot_subject(c: Column) -> Column:
     """LOT2: what follows a lot name's last mark, else its last colon; its first line, trimmed."""
     marks = f"{SECTION_MARKS}|{PACKAGE_MARKS}"
@@ -122,7 +127,7 @@ def products(raw: Column) -> Column:
         unit = F.regexp_extract(fold_empty(r["quantities"]), r"\d+(?:\.\d+)?\s*([^\d\s]+)$", 1)
         subject = F.coalesce(F.nullif(fold_empty(r["subjects"]), F.lit("")), F.nullif(fold_empty(r["description"]), F.lit("")), lot_subject(r["lotName"]))
         return F.struct(
-            F.coalesce(lot_number(r["lotNumber"]), lot_number(r["lotName"]), F.lit(DEFAULT_LOT)).alias("lotNumber"),
+            _lot_of_row(r).alias("lotNumber"),
             fold_empty(r["lotName"]).alias("lotName"), subject.alias("subjects"), fold_empty(r["productCategory"]).alias("productCategory"), _text(r["models"]).alias("models"),
             first_price(r["unitPrices"]).alias("unitPrices"), F.regexp_extract(quantity, r"(\d+)", 1).alias("quantities"),
             F.coalesce(F.nullif(fold_empty(r["quantityUnit"]), F.lit("")), unit).alias("quantityUnit"),
@@ -159,7 +164,7 @@ def candidates(raw: Column) -> Column:
     def rows(r: Column) -> Column:
         some = F.concat_ws("", *(fold_empty(r[f]) for f in ("lotNumber", "lotName", "type", "candidates", "candidatePrices", "winner", "winningAmount"))) != ""
         listed = F.struct(
-            F.coalesce(lot_number(r["lotNumber"]), lot_number(r["lotName"]), F.lit(DEFAULT_LOT)).alias("lot"), fold_empty(r["lotName"]).alias("name"), candidate_type(r["type"]).alias("kind"), fold_empty(r["winner"]).alias("winner"),
+            _lot_of_row(r).alias("lot"), fold_empty(r["lotName"]).alias("name"), candidate_type(r["type"]).alias("kind"), fold_empty(r["winner"]).alias("winner"),
             split_list(r["candidates"]).alias("names"), split_list(r["candidatePrices"]).alias("said"), to_yuan(r["candidatePrices"]).alias("price"), to_yuan(r["winningAmount"]).alias("won"),
         )
         return F.when(some, let(listed, _settled)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))

@@ -15,105 +15,153 @@ STAGES = ("meta", "contacts", "address_detail", "lots")
 OUTCOMES = ["not_on_detail_page", "skipped_duplicate", "extract_content_empty", "skipped_non_gongchengjixie", "skipped_invalid_announcement_type", "success"]
 
 
-def staged(docs: DataFrame, responses: DataFrame, key: str = "doc_id", own: list[catalog.Field] | None = None) -> DataFrame:
+def _gathered(responses: DataFrame, key: str, stages: tuple[str, ...], besides: tuple[str, ...] = (), repairs: tuple[str, ...] = ()) -> DataFrame:
+    """All answers that count, in one aggregation: a row a key with _<stage>, the first answer's payload,
+    of each of stages and besides; _said_<stage>, the payloads of attempts 1 to the stage's last in order, of
+    each of repairs; and _cut, whether an input of stages was cut. Equal attempts are settled by the
+    smaller payload. State is of fixed size, but for answers by position (product_category), which
+    are as many as a notice has rows."""
+    stage, attempt, payload = F.col("stage"), F.col("attempt"), F.coalesce("payload", F.lit(""))
+    first = lambda s: F.min(F.when(stage == s, F.struct(attempt, payload.alias("payload"))))["payload"].alias(f"_{s}")
+    firsts = tuple(dict.fromkeys((*stages, *besides)))
+    aggs = [first(s) for s in firsts]
+    for s in repairs:
+        if s == "product_category":
+            aggs.append(F.array_sort(F.collect_set(F.when(stage == s, F.struct(attempt.cast("int").alias("pos"), payload.alias("payload"))))).alias(f"_said_{s}"))
+        else:
+            each = (F.min(F.when((stage == s) & (attempt == i), payload)) for i in range(1, attempts.MAX_ATTEMPTS[s] + 1))
+            aggs.append(F.array_compact(F.array(*each)).alias(f"_said_{s}"))
+    if "input_truncated" in responses.columns:
+        aggs.append(F.max(F.when(stage.isin(*stages), F.col("input_truncated"))).alias("_cut"))
+    return responses.filter(stage.isin(*firsts, *repairs) & attempt.isNotNull()).groupBy(key).agg(*aggs)
+
+
+def staged(docs: DataFrame, responses: DataFrame, key: str = "doc_id", own: list[catalog.Field] | None = None, besides: tuple[str, ...] = (), repairs: tuple[str, ...] = ()) -> DataFrame:
     """JON9, PRJ4: documents with the raw fields of every stage, from each stage's first answer in
     one aggregation; missing answers leave nulls. Flags of cut inputs are ORed (AGG2). own: another
-    catalog, whose stages are its own."""
+    catalog, whose stages are its own. besides, repairs: other stages, whose answers stay as they are
+    in _<stage> and _said_<stage> for the steps that follow."""
     stages = STAGES if own is None else tuple(dict.fromkeys(f.stage for f in own))
-    wide = responses.filter(F.col("stage").isin(*stages)).groupBy(key).agg(
-        *(F.min_by(F.when(F.col("stage") == s, F.col("payload")), F.when(F.col("stage") == s, F.col("attempt"))).alias(f"_{s}") for s in stages),
-        *([F.max("input_truncated").alias("_cut")] if "input_truncated" in responses.columns else []),
-    )
-    joined = docs.join(wide, key, "left")
-    for s in stages:
-        joined = joined.withColumn(f"_{s}", F.from_json(jsonx.lenient_object(F.col(f"_{s}")), catalog.raw_schema(s, own)))
+    joined = docs.join(_gathered(responses, key, stages, besides, repairs), key, "left")
     cut = F.coalesce(F.col("_cut"), F.lit(False)) if "_cut" in joined.columns else F.lit(False)
+    read = joined.withColumns({f"_{s}": F.from_json(jsonx.lenient_object(F.col(f"_{s}")), catalog.raw_schema(s, own)) for s in stages})
     fields = [catalog.coerced(f, F.col(f"_{f.stage}.{f.key}")).alias(f.key) for f in catalog.fields(own=own) if f.stage in stages]
-    return joined.select(*docs.columns, cut.alias("inputTruncated"), *fields)
+    return read.select(*docs.columns, cut.alias("inputTruncated"), *fields, *(f"_{s}" for s in besides), *(f"_said_{s}" for s in repairs))
 
 
-def with_categories(items: DataFrame, terms: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """CAT2-4: the category of each product: the table's exact term, else the recorded answer."""
+def with_categories(items: DataFrame, terms: DataFrame, key: str = "doc_id", lookup_bytes: int = category.AUTOMATON_BYTES) -> DataFrame:
+    """CAT2-4: the category of each product: the table's exact term, else the recorded answer of its
+    place. Rows stay arrays of their notice, with the terms sent along; a table of more than
+    lookup_bytes is joined instead."""
+    look = category.lookup(terms, lookup_bytes)
+    if look is None:
+        return _joined_categories(items, terms, key)
+    said, subjects = F.col("_said_product_category"), F.transform("lotProducts", lambda p: category.folded(p["subjects"]))
+    found = items.withColumn("_c", look(subjects, said["pos"], said["payload"]))
+
+    def row(p: Column, i: Column) -> Column:
+        at = lambda name: F.get(F.col(f"_c.{name}"), i)
+        return p.withField("productCategory", category.settled(at("term"), at("answer"), at("known"), p["productCategory"]))
+
+    return found.withColumn("lotProducts", F.coalesce(F.transform("lotProducts", row), F.array().cast(f"array<{lots.PRODUCT}>"))).drop("_c", "_said_product_category")
+
+
+def _joined_categories(items: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     rows = items.select(key, F.posexplode_outer("lotProducts").alias("pos", "p")).withColumn("subject", F.col("p.subjects"))
-    answers = responses.filter("stage = 'product_category'").select(key, F.col("attempt").alias("_pos"), F.get_json_object("payload", "$.productCategory").alias("answer"))
-    found = category.exact_term(rows, terms).join(answers.withColumnRenamed("_pos", "pos"), [key, "pos"], "left")
+    first = items.select(key, F.explode("_said_product_category").alias("a")).groupBy(key, F.col("a.pos").alias("pos")).agg(F.min("a.payload").alias("payload"))
+    found = category.exact_term(rows, terms).join(first.select(key, "pos", F.get_json_object("payload", "$.productCategory").alias("answer")), [key, "pos"], "left")
     found = found.join(terms.select(F.col("term").alias("answer"), F.lit(True).alias("known")).distinct(), "answer", "left")
-    kind = category.answer_kind(F.col("answer"), F.coalesce("known", F.lit(False)))
-    chosen = F.coalesce(F.col("matched_term"), category.answer_value(F.col("answer"), kind), F.col("p.productCategory"), F.lit(""))
+    chosen = category.settled(F.col("matched_term"), F.col("answer"), F.coalesce("known", F.lit(False)), F.col("p.productCategory"))
     merged = found.filter("pos is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("p").withField("productCategory", chosen).alias("p")))).alias("_rows"))
-    done = items.join(merged, key, "left")
+    done = items.drop("_said_product_category").join(merged, key, "left")
     return done.withColumn("lotProducts", F.coalesce(F.transform("_rows", lambda r: r["p"]), F.array().cast(f"array<{lots.PRODUCT}>"))).drop("_rows")
 
 
-def with_type(items: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
+def with_type(items: DataFrame) -> DataFrame:
     """EXT6: a type that isn't one of the known is repaired by the first recorded answer that is."""
-    answer = types.announcement_type(F.get_json_object("payload", "$.announcementType"))
-    repaired = attempts.first_valid(responses.filter("stage = 'type_repair'"), key, answer, answer.isNotNull(), attempts.MAX_ATTEMPTS["type_repair"]).withColumnRenamed("value", "_type")
-    return items.join(repaired, key, "left").withColumn("announcementType", F.when(F.col("announcementType") != "", F.col("announcementType")).otherwise(F.coalesce("_type", F.lit("")))).drop("_type")
+    answers = F.transform("_said_type_repair", lambda p: types.announcement_type(F.get_json_object(p, "$.announcementType")))
+    repaired = F.coalesce(F.get(F.array_compact(answers), F.lit(0)), F.lit(""))
+    return items.withColumn("announcementType", F.when(F.col("announcementType") != "", F.col("announcementType")).otherwise(repaired)).drop("_said_type_repair")
 
 
-def with_amount(items: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """EXT7, A.10: the estimated range."""
-    own = responses.filter("stage = 'estimated_amount'")
-    answer = attempts.first_valid(own, key, F.col("payload"), attempts.is_range(F.col("payload")), attempts.MAX_ATTEMPTS["estimated_amount"]).withColumnRenamed("value", "_answer")
+def with_amount(items: DataFrame) -> DataFrame:
+    """EXT7, A.10: the estimated range, of the first answer that is one, else the first one."""
+    said = F.col("_said_estimated_amount")
+    answer = F.coalesce(F.get(F.filter(said, attempts.is_range), F.lit(0)), F.get(said, F.lit(0)))
     clue = attempts.price_clue(F.col("winnerAmount"), F.col("lotCandidates"))
     current = F.col("estimatedAmount") if "estimatedAmount" in items.columns else F.lit("")
-    value = attempts.settled_range(current, clue, F.col("budgetAmount"), F.size(lots.effective(F.col("lotProducts"))), F.col("_answer"))
-    return items.join(answer, key, "left").withColumn("estimatedAmount", value).drop("_answer")
+    value = attempts.settled_range(current, clue, F.col("budgetAmount"), F.size(lots.effective(F.col("lotProducts"))), answer)
+    return items.withColumn("estimatedAmount", value).drop("_said_estimated_amount")
 
 
-def with_divisions(items: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
+def with_divisions(items: DataFrame) -> DataFrame:
     """EXT4, AGG6, A.7: divisions of the three addresses: the first attempt of which all groups are
-    valid, else the last one's fields where they are valid; China alone where there is no address."""
+    valid, else the last one's fields where they are valid; China alone where there is no address.
+    A notice's attempts and groups are arrays (_tries: attempts of groups), so nothing is shuffled."""
     groups = ("buyer", "project", "delivery")
-    names = {g: {f: f"{g}{f.capitalize()}" for f in address.FIELDS} for g in groups}
-    details = items.select(key, *(f"{g}AddressDetail" for g in groups))
-    tried = responses.filter((F.col("stage") == "address_admin") & (F.col("attempt") <= attempts.MAX_ATTEMPTS["address_admin"])).join(details, key)
-    raw = F.from_json(jsonx.lenient_object(F.col("payload")), ", ".join(f"{n} string" for own in names.values() for n in own.values()))
-    tried = tried.withColumn("_raw", raw)
-    # Column by column, so that each step's expressions hold the one before as a column.
-    first = {f"_{g}_{f}": c for g in groups for f, c in address.or_default(F.col(f"{g}AddressDetail"), {f: text.strip(F.col(f"_raw.{n}")) for f, n in names[g].items()}).items()}
-    tried = tried.select(key, "attempt", *(f"{g}AddressDetail" for g in groups), *(c.alias(n) for n, c in first.items()))
-    place = lambda g: address.fold_place(F.concat_ws(" ", F.col(f"{g}AddressDetail"), F.col(f"_{g}_province"), F.col(f"_{g}_city"), F.col(f"_{g}_district")))
-    tried = tried.withColumns({f"_{g}_place": place(g) for g in groups})
-    tried = tried.withColumns({f"_{g}_hint": address.inferred_country(F.col(f"_{g}_place")) for g in groups})
-    own_country = lambda g: F.when(F.col(f"_{g}_country").isin("", address.CHINA) & (F.col(f"_{g}_hint") != ""), F.col(f"_{g}_hint")).otherwise(F.col(f"_{g}_country"))
-    tried = tried.withColumns({f"_{g}_country": own_country(g) for g in groups})
-    ok = F.lit(True)
-    for g in groups:
-        ok &= F.startswith(address.reason(*(F.col(f"_{g}_{f}") for f in address.FIELDS)), F.lit("ok"))
-    tried = tried.select(key, "attempt", F.struct(*(F.col(f"_{g}_{f}").alias(names[g][f]) for g in groups for f in address.FIELDS)).alias("_g"), ok.alias("_ok"))
-    best = tried.groupBy(key).agg(F.min_by(F.when(F.col("_ok"), F.col("_g")), F.when(F.col("_ok"), F.col("attempt"))).alias("_first"), F.max_by("_g", "attempt").alias("_last"))
-    out = items.join(best, key, "left")
+    name = lambda g, f: f"{g}{f.capitalize()}"
+    schema = ", ".join(f"{name(g, f)} string" for g in groups for f in address.FIELDS)
+    group = lambda s: F.struct(*(s[f].alias(f) for f in address.FIELDS))
+    detail = lambda j: F.get(F.col("_details"), j)
+
+    def read(payload: Column) -> Column:
+        raw = F.from_json(jsonx.lenient_object(payload), schema)
+        return text.let(raw, lambda r: F.array(*(F.struct(*(r[name(g, f)].alias(f) for f in address.FIELDS)) for g in groups)))
+
+    def defaulted(s: Column, j: Column) -> Column:
+        return F.struct(*(c.alias(f) for f, c in address.or_default(detail(j), {f: text.strip(s[f]) for f in address.FIELDS}).items()))
+
+    out = items.withColumns({"_details": F.array(*(F.col(f"{g}AddressDetail") for g in groups)), "_tries": F.transform("_said_address_admin", read)})
+    out = out.withColumn("_tries", F.transform("_tries", lambda t: F.transform(t, defaulted)))
+    places = F.transform("_tries", lambda t: F.transform(t, lambda s, j: F.concat_ws(" ", detail(j), s["province"], s["city"], s["district"])))
+    out = out.withColumn("_places", address.fold_places(F.flatten(places)))
+
+    def hinted(t: Column, a: Column) -> Column:
+        def one(s: Column, j: Column) -> Column:
+            hint = address.inferred_country(F.get(F.col("_places"), a * len(groups) + j))
+            return text.let(hint, lambda h: s.withField("country", F.when(s["country"].isin("", address.CHINA) & (h != ""), h).otherwise(s["country"])))
+
+        return F.transform(t, one)
+
+    out = out.withColumn("_tries", F.transform("_tries", hinted))
+    valid = lambda s: F.startswith(address.reason(*(s[f] for f in address.FIELDS)), F.lit("ok"))
+    first = F.get(F.filter("_tries", lambda t: F.forall(t, valid)), F.lit(0))
+    out = out.withColumns({"_first": first, "_last": F.get(F.col("_tries"), F.size("_tries") - 1)})
     empty = F.struct(*(F.lit("").alias(f) for f in address.FIELDS))
-    last = lambda g: F.struct(*(F.coalesce(F.col(f"_last.{n}"), F.lit("")).alias(f) for f, n in names[g].items()))
-    out = out.withColumns({f"_{g}_back": F.when(F.col("_first").isNull(), address.settled(empty, last(g))) for g in groups})
-    settled = {}
-    for g in groups:
-        backed = address.or_default(F.col(f"{g}AddressDetail"), {f: F.col(f"_{g}_back.{f}") for f in address.FIELDS})
-        settled |= {n: F.coalesce(F.col(f"_first.{n}"), backed[f], F.lit("")) for f, n in names[g].items()}
-    return out.withColumns(settled).drop("_first", "_last", *(f"_{g}_back" for g in groups))
+    blank = lambda s: F.struct(*(F.coalesce(s[f], F.lit("")).alias(f) for f in address.FIELDS))
+
+    def place(d: Column, j: Column) -> Column:
+        backed = text.let(address.settled(empty, blank(F.get(F.col("_last"), j))), lambda b: F.struct(*(c.alias(f) for f, c in address.or_default(d, {f: b[f] for f in address.FIELDS}).items())))
+        return F.coalesce(F.get(F.col("_first"), j), group(backed))
+
+    out = out.withColumn("_placed", F.transform("_details", place))
+    settled = {name(g, f): F.coalesce(F.get(F.col("_placed"), F.lit(j))[f], F.lit("")) for j, g in enumerate(groups) for f in address.FIELDS}
+    kept = [c for c in items.columns if c not in (*settled, "_said_address_admin")]
+    # As one generated row, the fields are those of one value; as columns each would hold the whole rule.
+    return out.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in settled.items())))))
+
+
+#: Stages that complete a record.
+REPAIRS = ("product_category", "type_repair", "estimated_amount", "address_admin")
 
 
-def _finished(items: DataFrame, terms: DataFrame, responses: DataFrame, key: str) -> DataFrame:
+def _finished(items: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     done = items.withColumn("lotProducts", lots.supplemented(F.col("lotProducts"), F.col("lotCandidates")))
-    done = with_categories(done, terms, responses, key)
-    done = with_type(done, responses, key)
-    done = with_amount(done, responses, key)
-    return with_divisions(done, responses, key)
+    for s in REPAIRS:  # none at all, where a notice has no answers
+        done = done.withColumn(f"_said_{s}", F.coalesce(f"_said_{s}", F.array()))
+    done = with_categories(done, terms, key)
+    return with_divisions(with_amount(with_type(done)))
 
 
 def normalize(sources: DataFrame, responses: DataFrame, terms: DataFrame, key: str = "doc_id", strict: bool = False) -> DataFrame:
     """The normalise plan: sources (key, source_text) to records with outcome_code; strict fails on
     a notice without a known type (PRJ16)."""
     docs = sources.withColumn("_parts", sections.sections(F.col("source_text")))
-    docs = docs.select(key, sections.title(F.col("_parts")).alias("_title"), sections.cleaned_body(sections.body(F.col("_parts"))).alias("_body"))
-    items = staged(docs, responses, key)
-    named = responses.filter("stage = 'title'").groupBy(key).agg(F.min_by(F.get_json_object("payload", "$.projectName"), "attempt").alias("_name"))
-    items = items.join(named, key, "left")
+    docs = docs.select(key, sections.title(F.col("_parts")).alias("_head"), sections.cleaned_body(sections.body(F.col("_parts"))).alias("_body"))
+    items = staged(docs, responses, key, besides=("title",), repairs=REPAIRS)
     given = lambda new, old: F.coalesce(F.nullif(text.strip(new), F.lit("")), old)
-    items = items.withColumn("projectName", given(F.col("_name"), F.col("projectName"))).withColumn("announcementName", F.col("_title")).withColumn("announcementContent", F.col("_body"))
-    done = _finished(items, terms, responses, key).withColumn("outcome_code", F.when(F.col("announcementType") == "", "skipped_invalid_announcement_type").otherwise("success"))
+    items = items.withColumn("projectName", given(F.get_json_object("_title", "$.projectName"), F.col("projectName"))).withColumn("announcementName", F.col("_head")).withColumn("announcementContent", F.col("_body"))
+    done = _finished(items, terms, key).withColumn("outcome_code", F.when(F.col("announcementType") == "", "skipped_invalid_announcement_type").otherwise("success"))
     if strict:
         done = done.withColumn("announcementType", F.when(F.col("announcementType") == "", F.raise_error(F.lit("no known announcement type"))).otherwise(F.col("announcementType")))
     return hashing.with_data_id(catalog.conform(done.withColumnRenamed(key, "doc_id")))
@@ -125,11 +173,12 @@ def extracted(sources: DataFrame, responses: DataFrame, own: list[catalog.Field]
     repaired where the catalog has one, and rows of lots are completed where it has both kinds."""
     docs = sources.withColumn("_parts", sections.sections(F.col("source_text")))
     docs = docs.select(key, sections.title(F.col("_parts")).alias("announcementName"), sections.cleaned_body(sections.body(F.col("_parts"))).alias("announcementContent"))
-    items, have = staged(docs, responses, key, own), {f.key for f in own}
+    have = {f.key for f in own}
+    items = staged(docs, responses, key, own, repairs=("type_repair",) if "announcementType" in have else ())
     if {"lotProducts", "lotCandidates"} <= have:
         items = items.withColumn("lotProducts", lots.supplemented(F.col("lotProducts"), F.col("lotCandidates")))
     if "announcementType" in have:
-        items = with_type(items, responses, key)
+        items = with_type(items)
     return hashing.with_data_id(catalog.conform(items.withColumnRenamed(key, "doc_id"), own))
 
 
@@ -162,20 +211,18 @@ def crawl(pages: DataFrame, responses: DataFrame, terms: DataFrame, ledger: Data
     hold what the meta stage said of them."""
     if machinery_only:
         responses = _without_rejected(responses, key)
-    file_date = dates.normalize_date(F.col("list_date"))
+    listed, file_date = dates.normalize_date(F.col("list_date")), dates.file_date(F.col("list_date"))
     known = pages.withColumn("detail_key", jsonx.detail_key(F.col("url"), F.col("title"), file_date)).withColumn("_list", jsonx.on_list_page(F.col("url"), F.col("list_url")))
     settled = _settled_pages(known.filter(~F.col("_list")), ledger, key)
     docs = known.drop("html").join(settled, key, "left").withColumn("_fresh", F.coalesce("_fresh", F.lit(False))).withColumn("_content", F.when(F.col("_fresh"), F.col("_content")))
-    items = staged(docs.select(key, "url", "title", "list_date", "detail_key", "_list", "_fresh", "_content"), responses, key)
-    machine = responses.filter("stage = 'machinery'").groupBy(key).agg(F.min_by(F.get_json_object("payload", "$.isMachinery"), "attempt").alias("_machine"))
-    items = items.join(machine, key, "left").withColumn("announcementUrl", F.col("url")).withColumn("announcementName", F.col("title")).withColumn("announcementContent", F.coalesce("_content", F.lit("")))
-    items = items.withColumn("announcementDate", F.when(F.col("announcementDate") == "", file_date).otherwise(F.col("announcementDate")))
-    done = _finished(items, terms, responses, key)
-    skip = F.lit(machinery_only) & (F.lower("_machine") == "false") & (F.col("projectName") != "")  # unknown is kept (PRJ14)
+    items = staged(docs.select(key, "url", "title", "list_date", "detail_key", "_list", "_fresh", "_content"), responses, key, besides=("machinery",), repairs=REPAIRS)
+    items = items.withColumn("announcementUrl", F.col("url")).withColumn("announcementName", F.col("title")).withColumn("announcementContent", F.coalesce("_content", F.lit("")))
+    items = items.withColumn("announcementDate", F.when(F.col("announcementDate") == "", listed).otherwise(F.col("announcementDate")))
+    done = _finished(items, terms, key)
+    skip = F.lit(machinery_only) & (F.lower(F.get_json_object("_machinery", "$.isMachinery")) == "false") & (F.col("projectName") != "")  # unknown is kept (PRJ14)
     outcome = F.when(F.col("_list"), OUTCOMES[0]).when(~F.col("_fresh"), OUTCOMES[1]).when(F.col("announcementContent") == "", OUTCOMES[2]).when(skip, OUTCOMES[3]).when(F.col("announcementType") == "", OUTCOMES[4]).otherwise(OUTCOMES[5])
     done = done.withColumn("outcome_code", outcome).withColumnRenamed(key, "doc_id")
-    keys = done.select("doc_id", "detail_key")
-    return hashing.with_data_id(catalog.conform(done)).join(keys, "doc_id")
+    return hashing.with_data_id(catalog.conform(done))
 
 
 def ledger_of(crawled: DataFrame) -> DataFrame:
