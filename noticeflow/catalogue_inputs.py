@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticeflow.catalogue import query, table
 from noticeflow.functions import jsonx, money, scan, sections
 from noticeflow.plans import inputs
+from noticeflow.sources import inputs as sources
 from noticeflow.sources import sinks
 from noticeflow.streaming import events as ev
 
@@ -99,3 +100,51 @@ select user_id, event_type as stage, round((epoch_us(after) - epoch_us(ts)) / 1e
 union all select user_id, 'total', round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) from events group by user_id""")
 def q_stage_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.stage_seconds(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", ["event_id"])
+
+
+# Texts of the table under a heading, line by line: lines that are headings themselves start sections.
+@query("""with t as (select doc_id, regexp_replace('# 标题' || chr(10) || coalesce(source, '') || chr(10) || '## 正文' || chr(10) || coalesce(text, ''), '\\r\\n?', chr(10), 'g') as t from documents),
+s as (select doc_id, string_split(regexp_replace(t, '^[\\s\\x0b\\x85\\pZ]+|[\\s\\x0b\\x85\\pZ]+$', '', 'g'), chr(10)) as lines from t),
+l as (select doc_id, n, lines[n] as line, regexp_matches(lines[n], '^[\\s\\x0b]{0,3}#{1,6}[\\s\\x0b]*[^\\r\\x85\\x{2028}\\x{2029}\\s\\x0b]') as head from s, unnest(range(1, len(lines) + 1)) as u(n)),
+g as (select *, sum(case when head then 1 else 0 end) over (partition by doc_id order by n) as k from l)
+select doc_id, cast(k - 1 as int) as pos, max(regexp_replace(regexp_replace(line, '^[\\s\\x0b]{0,3}#{1,6}', ''), '^[\\s\\x0b\\x85\\pZ]+|[\\s\\x0b\\x85\\pZ]+$', '', 'g')) filter (head) as heading,
+coalesce(regexp_replace(string_agg(line, chr(10) order by n) filter (not head), '^[\\s\\x0b\\x85\\pZ]+|[\\s\\x0b\\x85\\pZ]+$', '', 'g'), '') as content from g group by doc_id, k""")
+def q_section_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("# 标题\n"), F.coalesce("source", F.lit("")), F.lit("\n## 正文\n"), F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", said.alias("t"))
+    return sections.lateral_rows(docs, "doc_id", "t").select("doc_id", "pos", "heading", "content")
+
+
+# Every encoding that is tried: UTF-16 by its mark, UTF-8 with a mark and without, GB18030, and neither.
+@query("""select doc_id, coalesce(text, '') || case doc_id % 5 when 3 then '' else '标段' end || case when doc_id % 5 = 4 then chr(65533) else '' end as source_text from documents where doc_id % 5 <> 3
+union all select doc_id, coalesce(source, '') || '标段' from documents where doc_id % 5 = 3""")
+def q_source_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bytes_of = lambda c: F.encode(c, "UTF-8")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("标段"))
+    mark, gb, broken = F.unhex(F.lit("EFBBBF")), F.unhex(F.lit("B1EAB6CE")), F.unhex(F.lit("FF"))
+    raw = _case(F.col("doc_id"), F.encode(said, "UTF-16"), F.concat(mark, bytes_of(said)), bytes_of(said), F.concat(bytes_of(F.coalesce("source", F.lit(""))), gb), F.concat(bytes_of(said), broken))
+    return table(spark, sf_dir, "documents").select("doc_id", sources.decode_udf(raw).alias("source_text"))
+
+
+# Each supplier's source as a file, wrapped or not, read back from its folder.
+@query("""select s_suppkey, '# 标题' || chr(10) || s_name || chr(10) || '# 正文' || chr(10) || s_nationkey as source_text from supplier""")
+def q_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("# 标题\n"), "s_name", F.lit("\n# 正文\n"), F.col("s_nationkey").cast("string"))
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, sources.wrapped(said)).otherwise(said).alias("value"))
+    folder = sinks.shared_folder(spark, "sources")
+    files.write.partitionBy("s_suppkey").text(folder)
+    read = sources.text_files(spark, folder)
+    return read.select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("bigint").alias("s_suppkey"), sources.unwrapped(F.col("source_text")).alias("source_text"))
+
+
+# A price list with a model a brand, as a file, read and exported again.
+@query("""select p_brand as model, cast(min(p_size) as double) as input_cost, cast(max(p_size) as double) as output_cost from part where p_brand is not null group by p_brand""")
+def q_price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = table(spark, sf_dir, "part").filter("p_brand is not null").groupBy("p_brand").agg(F.to_json(F.struct(F.min("p_size").alias("input_cost_per_token"), F.max("p_size").alias("output_cost_per_token"))).alias("c"))
+    listed = costs.agg(F.concat(F.lit('{"data": {'), F.array_join(F.collect_list(F.concat(F.lit('"'), "p_brand", F.lit('": '), "c")), ", "), F.lit("}}")).alias("value"))
+    folder = sinks.shared_folder(spark, "prices")
+    listed.write.text(folder)
+    rows = sources.prices(spark, folder)
+    exported = sinks.export_prices(rows, rows.agg(F.min("model")).first()[0])
+    out = spark.createDataFrame([(exported,)], "j string").select(F.explode(F.from_json("j", "map<string,struct<input_cost:double,output_cost:double>>")).alias("model", "p"))
+    return out.select("model", "p.input_cost", "p.output_cost")

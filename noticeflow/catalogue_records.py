@@ -107,6 +107,49 @@ def q_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("outcome_code").agg(F.count("*").alias("n"))
 
 
+# Whole records of a crawl: dates of answers, of the list and of neither; addresses, lots, amounts and
+# types from their stages; pages off the machinery route.
+@query("""with p as (select page_id as k from pages where url is not null and url <> '')
+select k as doc_id, case when k % 13 = 0 then 'skipped_non_gongchengjixie' when k % 4 = 3 then 'skipped_invalid_announcement_type' else 'success' end as outcome_code,
+'page ' || k || case k % 3 when 0 then '|2026-02-16' when 1 then '|暂无' else '|' end as detail_key, 'unknown' as "announcementUrl", 'page ' || k as "announcementName", '<div>' || repeat(cast(k % 10 as varchar), 80) || '</div>' as "announcementContent", k % 6 = 0 as "inputTruncated",
+'p' || k as "projectName", case when k % 2 = 0 then '2026-01-05' when k % 3 = 0 then '2026-02-16' else '' end as "announcementDate", case when k % 13 = 0 then null else cast(k as double) * 10000 end as "lotPrice",
+case k % 4 when 0 then '招标' when 1 then case when k % 13 = 0 then '' else '终止' end when 2 then '中标' else '' end as "announcementType", k % 3 <> 1 as "isEquipment", k % 3 = 2 as "isOverseasProject",
+case when k % 13 = 0 then '' when k % 2 = 0 then 'b' || k else '' end as "buyerName", '中国' as "buyerCountry", case when k % 13 <> 0 and k % 2 = 0 then '浙江省' else '' end as "buyerProvince",
+case when k % 13 = 0 then '' when k = 0 then '' else '1~2' end as "estimatedAmount", case when k % 13 = 0 then '' else '标段三/' || case when k % 2 = 0 then '叉 车/叉车' else '起重机/吊机' end || '/2/台' end as products from p""")
+def q_crawl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    k = n.cast("string")
+    case = lambda by, *xs: F.element_at(F.array(*map(F.lit, xs)), (n % by).cast("int") + 1)
+    pages = table(spark, sf_dir, "pages").filter("url is not null and url <> ''")
+    html = F.concat(F.lit("<div class='detail'>"), F.repeat((n % 10).cast("string"), F.lit(80)), F.lit("</div>"))
+    shown = pages.select(n.alias("doc_id"), F.lit("unknown").alias("url"), F.lit("http://a.b/l").alias("list_url"), F.concat(F.lit(" page "), k).alias("title"), case(3, "2026/2/16", "暂无", None).alias("list_date"), html.alias("html"), n.alias("arrival"))
+    meta = _json(projectName=F.concat(F.lit("p"), k), announcementDate=F.when(n % 2 == 0, "2026年1月5日"), announcementType=case(4, "招标公告", "不明", "中标结果公示", ""), isEquipment=case(3, "未知", "false", "是"), isOverseasProject=case(3, "未知", "否", "是"))
+    lot = F.struct(F.lit("第三标段").alias("lotName"), F.when(n % 2 == 0, "叉 车").otherwise("起重机").alias("subjects"), F.lit("2台").alias("quantities"), F.lit("m").alias("models"))
+    won = F.struct(F.lit("3").alias("lotNumber"), F.lit("中标").alias("type"), F.lit("c").alias("candidates"), F.concat(k, F.lit("万")).alias("candidatePrices"))
+    responses = _answers(
+        pages, "page_id",
+        ("meta", 1, meta, F.lit(True), n % 6 == 0),
+        ("machinery", 1, _json(isMachinery=F.lit(" false")), n % 13 == 1),  # not a plain no
+        ("machinery", 2, _json(isMachinery=F.lit("true")), n % 13 == 0),
+        ("machinery", 1, _json(isMachinery=F.lit("False")), n % 13 == 0),
+        ("contacts", 1, _json(buyerName=F.concat(F.lit("b"), k), agency=F.lit("-")), n % 2 == 0),
+        ("address_detail", 1, _json(buyerAddressDetail=F.lit("somewhere")), n % 2 == 0),
+        ("lots", 1, _json(lotProducts=F.array(lot), lotCandidates=F.array(won))),
+        ("type_repair", 1, _json(announcementType=F.lit("还是不明"))),
+        ("type_repair", 2, _json(announcementType=F.lit("流标公告")), n % 4 == 1),
+        ("product_category", 0, _json(productCategory=F.lit("吊机、x"))),
+        ("address_admin", 1, _json(buyerCountry=F.lit("中国"), buyerProvince=F.lit("浙江省"), buyerCity=F.lit("杭州市"))),
+        ("estimated_amount", 1, F.lit("1~2")),
+    )
+    none = spark.createDataFrame([], "detail_key string")
+    out = normalize.crawl(shown, responses, category.product_terms(spark, "推土机、叉车"), none, machinery_only=True)
+    product = F.get("lotProducts", F.lit(0))
+    return out.select(
+        "doc_id", "outcome_code", "detail_key", "announcementUrl", "announcementName", "announcementContent", "inputTruncated", "projectName", "announcementDate", F.get("lotCandidates", F.lit(0))["candidatePrices"].alias("lotPrice"),
+        "announcementType", "isEquipment", "isOverseasProject", "buyerName", "buyerCountry", "buyerProvince", "estimatedAmount", F.coalesce(F.concat_ws("/", *(product[f] for f in ("lotNumber", "subjects", "productCategory", "quantities", "quantityUnit"))), F.lit("")).alias("products"),
+    )
+
+
 @query("""select doc_id, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then null else '# ' || coalesce(source, '') || chr(10) || chr(10) || 'a' || chr(9) || 'b \\\\n' end as markdown from documents""")
 def q_content_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")

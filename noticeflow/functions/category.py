@@ -125,9 +125,9 @@ def selected(prompt: Column, answer: Column) -> Column:
     return F.when(F.upper(strip(prompt)) == "ALL", True).otherwise(F.lower(strip(answer)).isin(TRUE_ANSWERS))
 
 
-def settled(term: Column, answer: Column, known: Column, given: Column) -> Column:
-    """The exact term, else the answer's value, else what the row says itself, else ''."""
-    return F.coalesce(term, answer_value(answer, answer_kind(answer, known)), given, F.lit(""))
+def settled(term: Column, answer: Column, known: Column) -> Column:
+    """The exact term, else the answer's value; '' without either, whatever the row said itself."""
+    return F.coalesce(term, answer_value(answer, answer_kind(answer, known)), F.lit(""))
 
 
 def answer_value(answer: Column, kind: Column) -> Column:

@@ -23,7 +23,8 @@ def normalize_date(c: Column) -> Column:
 
 
 def file_date(c: Column) -> Column:
-    """PRJ12: the date under which a notice is filed: the normalised one, else the text with dashes."""
+    """PRJ12: the date under which a notice is filed: the normalised one, else, for
+    a text that says nothing, the text itself with dashes."""
     return F.coalesce(F.nullif(normalize_date(c), F.lit("")), F.translate(c, "/.", "--"), F.lit(""))
 
 

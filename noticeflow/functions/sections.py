@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from noticeflow.functions.text import let, looks_like_html, strip
 # The form of a heading, and the headings with a meaning.
 HEADING = r"^\s{0,3}#{1,6}\s*(.+?)\s*$"
 TITLE, BODY = "标题", "正文"
+# The same form, and white space of any kind, as Python says them: a dot of Java's stops at every line end.
+PY_HEADING = re.compile(r"^\s{0,3}#{1,6}\s*([^\n\r\x85\u2028\u2029]+?)\s*(?=[\x85\u2028\u2029]?\Z)", re.ASCII)
+WHITE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def unified(c: Column) -> Column:
@@ -81,6 +85,40 @@ def rows(docs: DataFrame, key: str, source: str) -> DataFrame:
     return docs.select(key, F.posexplode(sections(F.col(source))).alias("pos", "s")).select(key, "pos", "s.*")
 
 
+def section_rows(text: str | None) -> Iterator[tuple[int, str | None, str | None, str, str]]:
+    """TXT13: pos, heading, heading_line, content, raw, section by section, with one line at a time."""
+    s = (text or "").replace("\r\n", "\n").replace("\r", "\n").strip(WHITE)
+    at, start, pos, line, head = 0, 0, 0, None, None
+
+    def section(end: int) -> tuple[int, str | None, str | None, str, str]:
+        body = s[start:end]
+        return pos, head, None if line is None else line.strip(WHITE), body.strip(WHITE), (body if line is None else f"{line}\n{body}").strip(WHITE)
+
+    while at <= len(s):
+        end = s.find("\n", at)
+        end = len(s) if end < 0 else end
+        found = PY_HEADING.match(s[at:end]) if s.find("#", at, end) >= 0 else None
+        if found:
+            if line is not None or at > 0:
+                yield section(max(at - 1, start))
+                pos += 1
+            line, head, start = s[at:end], found[1].strip(WHITE), end + 1
+        at = end + 1
+    yield section(len(s))
+
+
+def lateral_rows(docs: DataFrame, key: str, source: str) -> DataFrame:
+    """TXT13: rows as a table function joined laterally: a document's sections go out as they are found,
+    so none holds all its slices at once. A null text has one empty section."""
+
+    @F.udtf(returnType="pos int, heading string, heading_line string, content string, raw string")
+    class Sections:
+        def eval(self, text: str) -> Iterator[tuple]:
+            yield from section_rows(text)
+
+    return docs.select(key, source).lateralJoin(Sections(F.col(source).outer())).drop(source)
+
+
 def stage_text(c: Column) -> Column:
     """PRJ18, EXT2: primary and secondary, what a stage reads of a document: the first title's and the
     first body's content under marks, and all other sections. A document without these, or with both

@@ -61,7 +61,7 @@ def with_categories(items: DataFrame, terms: DataFrame, key: str = "doc_id", loo
 
     def row(p: Column, i: Column) -> Column:
         at = lambda name: F.get(F.col(f"_c.{name}"), i)
-        return p.withField("productCategory", category.settled(at("term"), at("answer"), at("known"), p["productCategory"]))
+        return p.withField("productCategory", category.settled(at("term"), at("answer"), at("known")))
 
     return found.withColumn("lotProducts", F.coalesce(F.transform("lotProducts", row), F.array().cast(f"array<{lots.PRODUCT}>"))).drop("_c", "_said_product_category")
 
@@ -71,7 +71,7 @@ def _joined_categories(items: DataFrame, terms: DataFrame, key: str) -> DataFram
     first = items.select(key, F.explode("_said_product_category").alias("a")).groupBy(key, F.col("a.pos").alias("pos")).agg(F.min("a.payload").alias("payload"))
     found = category.exact_term(rows, terms).join(first.select(key, "pos", F.get_json_object("payload", "$.productCategory").alias("answer")), [key, "pos"], "left")
     found = found.join(terms.select(F.col("term").alias("answer"), F.lit(True).alias("known")).distinct(), "answer", "left")
-    chosen = category.settled(F.col("matched_term"), F.col("answer"), F.coalesce("known", F.lit(False)), F.col("p.productCategory"))
+    chosen = category.settled(F.col("matched_term"), F.col("answer"), F.coalesce("known", F.lit(False)))
     merged = found.filter("pos is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("p").withField("productCategory", chosen).alias("p")))).alias("_rows"))
     done = items.drop("_said_product_category").join(merged, key, "left")
     return done.withColumn("lotProducts", F.coalesce(F.transform("_rows", lambda r: r["p"]), F.array().cast(f"array<{lots.PRODUCT}>"))).drop("_rows")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,3 +176,14 @@ def export_prices(prices: DataFrame, model: str) -> str:
     if model not in rows:
         raise KeyError(f"no prices for {model}")
     return json.dumps(rows, sort_keys=True, indent=2, ensure_ascii=False)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all machines share. Where it isn't set a local
+    session takes a folder of its own; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
+        base = tempfile.mkdtemp(prefix="noticeflow-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
