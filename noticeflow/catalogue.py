@@ -279,13 +279,14 @@ def q_lot_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 select l_orderkey, l_linenumber, part, 'product' as origin from p union all
 select l_orderkey, min(l_linenumber), part, 'candidate' from c where not exists (select 1 from p where p.l_orderkey = c.l_orderkey and p.part = c.part) group by l_orderkey, part""")
 def q_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
-    name = F.concat(F.lit("标1:"), F.col("part").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
     none = F.lit("")
-    product = F.struct(F.lit("标段一").alias("lotNumber"), none.alias("lotName"), F.col("part").cast("string").alias("subjects"), none.alias("productCategory"), none.alias("models"), F.lit(None).cast("double").alias("unitPrices"), F.col("l_linenumber").cast("string").alias("quantities"), none.alias("quantityUnit"))
-    candidate = F.struct(F.lit("标段一").alias("lotNumber"), name.alias("lotName"), none.alias("type"), F.col("l_linenumber").cast("string").alias("candidates"), F.lit(None).cast("double").alias("candidatePrices"))
-    order = lambda xs: F.transform(F.array_sort(xs), lambda x: x["r"])
-    own = rows.groupBy("l_orderkey").agg(order(F.collect_list(F.when(F.col("l_linenumber") <= 2, F.struct("l_linenumber", product.alias("r"))))).alias("p"), order(F.collect_list(F.when(F.col("l_linenumber") > 2, F.struct("l_linenumber", candidate.alias("r"))))).alias("c"))
+    lot = F.lit("标段一").alias("lotNumber")
+    said = lambda c: c.cast("string")
+    product = lambda x: F.struct(lot, none.alias("lotName"), said(x["part"]).alias("subjects"), none.alias("productCategory"), none.alias("models"), F.lit(None).cast("double").alias("unitPrices"), said(x["l_linenumber"]).alias("quantities"), none.alias("quantityUnit"))
+    candidate = lambda x: F.struct(lot, F.concat(F.lit("标1:"), said(x["part"])).alias("lotName"), none.alias("type"), said(x["l_linenumber"]).alias("candidates"), F.lit(None).cast("double").alias("candidatePrices"))
+    own = lines.filter("l_linenumber is not null").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "part"))).alias("l"))
+    own = own.select("l_orderkey", F.transform(F.filter("l", lambda x: x["l_linenumber"] <= 2), product).alias("p"), F.transform(F.filter("l", lambda x: x["l_linenumber"] > 2), candidate).alias("c"))
     done = own.select("l_orderkey", F.size("p").alias("n"), "c", F.posexplode(lots.supplemented(F.col("p"), F.col("c"))).alias("i", "r"))
     line = F.when(F.col("i") < F.col("n"), F.col("r.quantities")).otherwise(F.get(F.filter("c", lambda x: x["lotName"] == F.col("r.lotName")), F.lit(0))["candidates"])
     return done.select("l_orderkey", line.cast("int").alias("l_linenumber"), F.col("r.subjects").cast("bigint").alias("part"), F.when(F.col("i") < F.col("n"), "product").otherwise("candidate").alias("origin"))

@@ -104,7 +104,8 @@ def lot_subject(c: Column) -> Column:
     """LOT2: what follows a lot name's last mark, else its last colon; its first line, trimmed."""
     marks = f"{SECTION_MARKS}|{PACKAGE_MARKS}"
     mark = rf"(?s)^.*(?:(?:{marks})\s*第?\s*{NUMERAL}|第?\s*{NUMERAL}\s*(?:{marks})){MARK_TAIL}"
-    rest = let(fold_empty(c), lambda s: F.when(s.rlike(mark), F.regexp_replace(s, mark, "")).otherwise(F.regexp_replace(s, r"(?s)^.*[：:]", "")))
+    after = lambda s: let(F.regexp_replace(s, mark, ""), lambda r: F.when(r != s, r).otherwise(F.regexp_replace(s, r"(?s)^.*[：:]", "")))
+    rest = let(fold_empty(c), after)
     line = F.regexp_replace(rest, r"(?s)[\r\n]+.*$", "")
     return strip(F.regexp_replace(line, f"^{TRIM}|{TRIM}$", ""))
 
@@ -174,21 +175,26 @@ def candidates(raw: Column) -> Column:
 
 def supplemented(product_rows: Column, candidate_rows: Column) -> Column:
     """LOT8, SET2: products, and after them lots that only candidates name. A lot is known by its
-    number with its subject or with its name; each one added counts for the next."""
-    key = lambda lot, text: F.concat_ws("\u0001", lot, dedupe_text(text))
-    own = lambda r: F.filter(F.array(F.when(dedupe_text(r["subjects"]) != "", key(r["lotNumber"], r["subjects"])), F.when(dedupe_text(r["lotName"]) != "", key(r["lotNumber"], r["lotName"]))), lambda x: x.isNotNull())
-    start = F.struct(product_rows.alias("rows"), F.flatten(F.transform(product_rows, own)).alias("keys"))
+    number with its subject or with its name; each one added counts for the next. A row's keys are
+    made once, before the rows are gone through, which then only compares them."""
+    key = lambda lot, said: F.concat_ws("\u0001", lot, said)
+    known = lambda lot, c: let(dedupe_text(c), lambda s: F.when(s != "", key(lot, s)))
+    own = F.flatten(F.transform(product_rows, lambda r: F.array_compact(F.array(known(r["lotNumber"], r["subjects"]), known(r["lotNumber"], r["lotName"])))))
+
+    def read(c: Column) -> Column:
+        keys = lambda s: F.array(key(c["lotNumber"], dedupe_text(s)), key(c["lotNumber"], dedupe_text(c["lotName"])))
+        return let(lot_subject(c["lotName"]), lambda s: F.struct(c["lotNumber"].alias("lotNumber"), c["lotName"].alias("lotName"), s.alias("subjects"), F.when((F.coalesce(c["lotName"], F.lit("")) != "") & (s != ""), keys(s)).alias("keys")))
 
     def step(acc: Column, c: Column) -> Column:
-        subject = lot_subject(c["lotName"])
-        new = F.struct(c["lotNumber"].alias("lotNumber"), c["lotName"].alias("lotName"), subject.alias("subjects"), F.lit("").alias("productCategory"), F.lit("").alias("models"), F.lit(None).cast("double").alias("unitPrices"), F.lit("").alias("quantities"), F.lit("").alias("quantityUnit"))
-        skip = (F.coalesce(c["lotName"], F.lit("")) == "") | (subject == "") | F.arrays_overlap(acc["keys"], F.array(key(c["lotNumber"], subject), key(c["lotNumber"], c["lotName"])))
-        return F.struct(
-            F.when(skip, acc["rows"]).otherwise(F.concat(acc["rows"], F.array(new.cast(PRODUCT)))).alias("rows"),
-            F.when(skip, acc["keys"]).otherwise(F.concat(acc["keys"], F.array(key(c["lotNumber"], subject), key(c["lotNumber"], c["lotName"])))).alias("keys"),
-        )
+        return F.when(F.arrays_overlap(acc["keys"], c["keys"]), acc).otherwise(F.struct(F.concat(acc["rows"], F.array(c)).alias("rows"), F.concat(acc["keys"], c["keys"]).alias("keys")))
+
+    def row(c: Column) -> Column:
+        new = F.struct(c["lotNumber"].alias("lotNumber"), c["lotName"].alias("lotName"), c["subjects"].alias("subjects"), F.lit("").alias("productCategory"), F.lit("").alias("models"), F.lit(None).cast("double").alias("unitPrices"), F.lit("").alias("quantities"), F.lit("").alias("quantityUnit"))
+        return new.cast(PRODUCT)
 
-    return F.aggregate(candidate_rows, start, step, lambda acc: acc["rows"])
+    named = F.filter(F.transform(candidate_rows, read), lambda c: c["keys"].isNotNull())
+    start = F.struct(F.array().cast("array<struct<lotNumber:string,lotName:string,subjects:string,keys:array<string>>>").alias("rows"), own.alias("keys"))
+    return F.concat(product_rows, F.transform(F.aggregate(named, start, step, lambda acc: acc["rows"]), row))
 
 
 def effective(product_rows: Column) -> Column:

@@ -151,3 +151,18 @@ def test_answers(spark):
     assert many(spark, answers.list_udf, ['x [{"a": 1}, {"a": 2}] y', "{}"]) == ['[{"a": 1}, {"a": 2}]', None]
     assert len(answers.webhook_signature("s", 1)) == 44
     assert answers.example({"properties": {"a": {"$ref": "#/defs/x"}, "b": {"type": "array", "items": {"type": "string"}}, "c": {"anyOf": [{"type": "number"}]}}, "defs": {"x": {"enum": ["p", "q"]}}}) == {"a": "p", "b": [""], "c": 0}
+
+
+def test_supplemented_reads_a_candidate_once(spark):
+    """A candidate's subject is made once, and its keys are those of the rows before it."""
+    assert str(lots.supplemented(F.col("p"), F.col("c"))._jc.toString()).count(lots.TRIM) <= 8
+    product = f"array<{lots.PRODUCT}>"
+    p = lambda *rows: [{"lotNumber": n, "lotName": name, "subjects": s} for n, name, s in rows]
+    c = lambda *rows: [{"lotNumber": n, "lotName": name} for n, name in rows]
+    given = [
+        (0, p(("1", "", "a b")), c(("1", "标1:a,b"), ("1", "标1:c"), ("1", "标1:c"), ("2", "标1:c"), ("1", ""), ("1", None), ("1", "标1："))),
+        (1, p(), c(("1", "x：y"), ("1", "y"), (None, "y"))), (2, None, c(("1", "x"))), (3, p(("1", "n", None)), None), (4, p(("1", "标1:q", "r")), c(("1", "标1：q"), ("1", "标2:r"))),
+    ]
+    df = spark.createDataFrame(given, f"i int, p {product}, c array<{lots.CANDIDATE}>").select("i", lots.supplemented(F.col("p"), F.col("c")).alias("x")).orderBy("i")
+    got = [r.x and [(x.lotNumber, x.lotName, x.subjects) for x in r.x] for r in df.collect()]
+    assert got == [[("1", "", "a b"), ("1", "标1:c", "c"), ("2", "标1:c", "c")], [("1", "x：y", "y"), (None, "y", "y")], None, None, [("1", "标1:q", "r")]]
