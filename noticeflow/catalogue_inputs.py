@@ -92,7 +92,8 @@ def q_typed_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.array(F.struct(F.col("p_size").alias("id"), F.lit("1.50").alias("n"), F.lit("x").alias("other")))
     data = F.to_json(F.struct(row.alias("rows"), F.col("p_brand").alias("name"), price.alias("price"), F.when(F.col("p_size") % 3 == 0, "是").otherwise("no").alias("new")))
     raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"code":0,"data":'), data, F.lit("}"))).otherwise(F.substr(data, F.lit(2), F.length(data) - 2))
-    return table(spark, sf_dir, "part").select("p_partkey", sinks.typed_yaml(raw, {"name": "string", "price": "number", "new": "boolean", "rows": {"id": "string", "n": "number"}}).alias("yaml"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size").repartition(sources.TASKS_A_CORE * spark.sparkContext.defaultParallelism, "p_partkey")  # a small file is one task's otherwise
+    return parts.select("p_partkey", sinks.typed_yaml(raw, {"name": "string", "price": "number", "new": "boolean", "rows": {"id": "string", "n": "number"}}).alias("yaml"))
 
 
 @query("""with m as (select user_id, event_type, ts, lead(ts) over (partition by user_id order by ts, event_id) as after from events)

@@ -14,6 +14,7 @@ from noticeflow.functions.text import shortened, strip
 ENCODINGS = ["utf-8", "gb18030"]
 HIT_PATHS = ["data.webPages.value", "webPages.value", "data.results", "results"]
 MAX_HITS = 8
+TASKS_A_CORE = 8
 
 
 def decode(raw: bytes) -> str:

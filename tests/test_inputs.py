@@ -158,3 +158,18 @@ def test_heartbeats(spark, tmp_path):
         run.stop()
     assert seen.count(("s", "heartbeat")) >= 2 and ("t", "heartbeat") not in seen
     assert sorted(set(seen)) == [("s", "heartbeat"), ("s", "item"), ("s", "started"), ("t", "done")]
+
+
+def test_typed_yaml_asks_the_library_for_odd_fields_alone(monkeypatch):
+    kinds = {"s": "string", "n": "number", "b": "boolean", "yes": "string", "a b": "string", "l": "array", "rows": {"id": "string", "n": "number", "off": "boolean"}, "none": {}}
+    texts = ["", " x  y ", "é标\xa0", 'q"\\', "\n\r\t\0", "\x7f\x85\u2028\ufeff\U0001f600", "null", "1", "- a: b # c", "x" * 300 + " " + "y" * 300]
+    numbers = [0, -1, 10**30, 1.5, 1e30, -1e-9, 1e17, 1.25e-7, True, None, "1,000", "1.", "1e5", float("inf"), float("nan"), "x"]
+    write = sinks._yaml_writer(kinds)
+    for i in range(160):
+        t, n = texts[i % len(texts)], numbers[i % len(numbers)]
+        raw = json.dumps({"s": t, "n": n, "b": i % 3, "yes": t, "a b": n, "l": [[1, {"k": t}], [], t][i % 3], "rows": [{"id": t, "n": n, "off": 0}, {"id": i}] * (i % 3), "none": [{}] * (i % 2)})
+        record = sinks.typed_record(raw, kinds)
+        assert write(record) == sinks._dumped(record)
+    write = sinks._yaml_writer({"s": "string", "rows": {"id": "string", "n": "number"}})
+    monkeypatch.setattr(sinks, "_dumped", None)
+    assert write({"s": "a", "rows": [{"id": "1", "n": 1.5}]}) == 's: "a"\nrows:\n- id: "1"\n  n: 1.5\n'
