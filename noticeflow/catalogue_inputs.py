@@ -127,15 +127,16 @@ def q_source_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sources.decode_udf(raw).alias("source_text"))
 
 
-# Each supplier's source as a file, wrapped or not, read back from its folder.
+# Each supplier's source as a file, wrapped or not, read back from its folder; folders
+# are of a thousand files, which all tasks write side by side.
 @query("""select s_suppkey, '# 标题' || chr(10) || s_name || chr(10) || '# 正文' || chr(10) || s_nationkey as source_text from supplier""")
 def q_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("# 标题\n"), "s_name", F.lit("\n# 正文\n"), F.col("s_nationkey").cast("string"))
-    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, sources.wrapped(said)).otherwise(said).alias("value"))
+    files = table(spark, sf_dir, "supplier").select(F.concat_ws("/", F.floor(F.col("s_suppkey") / 1000).cast("string"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt"))).alias("path"), F.when(F.col("s_suppkey") % 2 == 0, sources.wrapped(said)).otherwise(said).alias("content"))
     folder = sinks.shared_folder(spark, "sources")
-    files.write.partitionBy("s_suppkey").text(folder)
+    sinks.write_files(files.repartition(sources.TASKS_A_CORE * spark.sparkContext.defaultParallelism, "path"), folder)
     read = sources.text_files(spark, folder)
-    return read.select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("bigint").alias("s_suppkey"), sources.unwrapped(F.col("source_text")).alias("source_text"))
+    return read.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("s_suppkey"), sources.unwrapped(F.col("source_text")).alias("source_text"))
 
 
 # A price list with a model a brand, as a file, read and exported again.

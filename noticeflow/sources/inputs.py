@@ -37,8 +37,10 @@ def decode_udf(raw: pd.Series) -> pd.Series:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC12, SRC21: path, source_text of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", decode_udf("content").alias("source_text"))
+    """SRC12, SRC21: path, source_text of each file, of any depth of folders. Spark deals small files 32 a
+    task, so many of them are read by a fixed number of tasks a core."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism).select("path", decode_udf("content").alias("source_text"))
 
 
 def unwrapped(c: Column) -> Column:

@@ -173,3 +173,11 @@ def test_typed_yaml_asks_the_library_for_odd_fields_alone(monkeypatch):
     write = sinks._yaml_writer({"s": "string", "rows": {"id": "string", "n": "number"}})
     monkeypatch.setattr(sinks, "_dumped", None)
     assert write({"s": "a", "rows": [{"id": "1", "n": 1.5}]}) == 's: "a"\nrows:\n- id: "1"\n  n: 1.5\n'
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    files = spark.range(1200).selectExpr("concat(id div 100, '/', id, '.txt') as path", "concat('t', id) as content")
+    assert sinks.write_files(files.repartition(4), str(tmp_path / "f")) == 1200
+    read = inputs.text_files(spark, str(tmp_path / "f"))
+    assert read.rdd.getNumPartitions() <= inputs.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert sorted(r.source_text for r in read.collect()) == sorted(f"t{i}" for i in range(1200))
