@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions import html, sections, text
+from noticeflow.functions.pieces import reading
 from noticeflow.operators import attempts
 
 
 def from_pages(pages: DataFrame, key: str = "page_id", content: str = "html") -> DataFrame:
     """EXT1, CLN1: key, input, input_truncated: a page cleaned for extraction and cut to the cap."""
-    read = html.clean_for_extraction_udf(F.col(content))
-    return pages.select(key, read.alias("r")).select(key, F.col("r.text").alias("input"), F.col("r.truncated").alias("input_truncated"))
+    return reading(pages.select(key, content), content, html.clean_for_extraction, "input string, input_truncated boolean")
 
 
 def from_sources(docs: DataFrame, key: str = "doc_id", source: str = "source_text") -> DataFrame:

@@ -5,11 +5,12 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from noticeflow import catalog
-from noticeflow.functions import answers, money, scan, sections
+from noticeflow.functions import answers, money, pieces, scan, sections
 from noticeflow.functions.html import Node
 from noticeflow.plans import inputs as stage_inputs
 from noticeflow.sources import feeds, inputs, sinks
@@ -181,3 +182,13 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     read = inputs.text_files(spark, str(tmp_path / "f"))
     assert read.rdd.getNumPartitions() <= inputs.TASKS_A_CORE * spark.sparkContext.defaultParallelism
     assert sorted(r.source_text for r in read.collect()) == sorted(f"t{i}" for i in range(1200))
+
+
+def test_pages_are_read_in_pieces_of_bounded_bytes(spark):
+    batch = pa.record_batch({"k": list(range(7)), "t": ["x" * 10, None, "é" * 5, "x" * 50, "", "y", "z" * 20]})
+    parts = list(pieces.pieces(batch, "t", 20))
+    assert [p.column("k").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5], [6]] and not list(pieces.pieces(batch.slice(0, 0), "t"))
+    assert "PandasUDF" not in str(stage_inputs.from_pages(spark.createDataFrame([(1, "<p>x</p>")], "page_id int, html string"))._jdf.queryExecution().toString())
+    rows = spark.createDataFrame([(1, "a", "x" * 700_000), (2, None, None), (3, "c", "y" * 700_000)], "k int, o string, t string").coalesce(1)
+    got = pieces.reading(rows, "t", lambda x: (x and x[:2], x is None), "head string, none boolean").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "xx", False), (2, None, None, True), (3, "c", "yy", False)]
