@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from noticeflow import catalog
 from noticeflow.functions import address, category, dates, hashing, jsonx, lots, scan, sections, text, types
+from noticeflow.functions.pieces import reading
 from noticeflow.operators import attempts
 
 STAGES = ("meta", "contacts", "address_detail", "lots")
@@ -186,8 +187,8 @@ def _settled_pages(known: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     """JON1, WIN1 after content: key, _content and _fresh of the pages whose key isn't in the ledger.
     A page counts as seen once it has content, so one that arrives empty leaves its key to the next.
     Only these pages' HTML is parsed, each once."""
-    content = text.strip(scan.page_content_udf(F.col("html")))
-    parsed = known.join(ledger.select("detail_key").distinct(), "detail_key", "left_anti").select(key, "detail_key", "arrival", content.alias("_content"))
+    new = known.join(ledger.select("detail_key").distinct(), "detail_key", "left_anti").select(key, "detail_key", "arrival", "html")
+    parsed = reading(new, "html", lambda x: (scan.page_content(x),), "_content string").withColumn("_content", text.strip(F.col("_content")))
     earlier = W.partitionBy("detail_key").orderBy("arrival", key).rowsBetween(W.unboundedPreceding, -1)
     return parsed.select(key, "_content", (F.coalesce(F.count_if(F.col("_content") != "").over(earlier), F.lit(0)) == 0).alias("_fresh"))
 
