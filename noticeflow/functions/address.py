@@ -35,11 +35,13 @@ def _group(*fields: Column) -> Column:
 
 def reason(country: Column, province: Column, city: Column, district: Column) -> Column:
     """ADR1: why a group isn't valid (the first reason), or ok / ok_non_cn."""
-    return let(_group(country, province, city, district), lambda g: _reason({f: g[f] for f in FIELDS}))
+    return let(_group(country, province, city, district), reason_of)
 
 
-def _reason(own: dict[str, Column]) -> Column:
-    out = F.when(F.lit(False), "")
+def reason_of(group: Column) -> Column:
+    """ADR1 of a struct of stripped FIELDS; most groups say nothing, so that is asked first."""
+    own = {f: group[f] for f in FIELDS}
+    out = F.when(own["country"].isin("", CHINA) & (own["province"] == "") & (own["city"] == "") & (own["district"] == ""), "ok")
     for name, c in own.items():
         out = out.when(_illegal(c), f"{name}_illegal_chars").when(c.isin(SHORT_NAMES), f"{name}_abbrev")
     country, province, city, district = own.values()

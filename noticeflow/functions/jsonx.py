@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import strip, strip_fences
+from noticeflow.functions.text import strip
 
 
 _END = "end of the text, 6f1d0c5e"
 
 
 def lenient_object(c: Column) -> Column:
-    """JSN1: the JSON object in a text, from its first { to its last }; null if there is none."""
-    inner = F.regexp_extract(strip_fences(c), r"(?s)(\{.*\})", 1)
+    """JSN1: the JSON object in a text, from its first { to its last }; null if there is none. Fences and
+    white space around it hold no braces, so they needn't go first."""
+    inner = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     return F.when(F.get_json_object(inner, "$").isNotNull(), inner)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ DIGITS = "零一二三四五六七八九"
 UNIT_VALUES = {"十": 10, "百": 100, "千": 1000, "万": 10_000}
 NUMERAL = r"[零〇一二三四五六七八九十百千万两\d]+"
 SECTION_MARKS, PACKAGE_MARKS = "标段|标包|标", "包件|包"
+MARK_SIGNS = "标包"  # every mark holds one of these
 MARK_TAIL = r"\s*[：:、.．）)】-]*\s*"
 TRIM = r"[\s：:、,，;；._-]+"
 DEFAULT_LOT = "标段一"
@@ -73,31 +77,37 @@ def int_to_numeral(n: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(out, "^零+|零+$", ""), "^一十", "十")
 
     parts = let(n, lambda x: F.array(*(F.pmod(F.floor(x / 10_000**i), F.lit(10_000)).cast("int") for i in range(3))))
-    return F.when(n > 0, let(parts, said))
-
+    one = F.substring(F.lit(DIGITS), F.pmod(n, F.lit(10)).cast("int") + 1, F.lit(1))
+    return F.when(n.between(1, 9), one).when(n > 0, let(parts, said))
 
-def _lot_of_numeral(c: Column) -> Column:
-    return let(numeral_to_int(c), lambda n: F.when(n > 0, F.concat(F.lit("标段"), int_to_numeral(n))))
 
-
-def lot_number(c: Column) -> Column:
-    """LOT1: the lot a text names: by section marks, then by package marks (number after the mark
-    first), then as a bare number; null if none."""
+def _named_number(c: Column) -> Column:
+    """The number of the lot that a text names; only a text with a mark is searched for one."""
 
     def tries(s: Column) -> Column:
         found = []
         for marks in (SECTION_MARKS, PACKAGE_MARKS):
             found.append(F.regexp_extract(s, rf"(?:{marks})\s*第?\s*({NUMERAL})", 1))
             found.append(F.regexp_extract(s, rf"第?\s*({NUMERAL})\s*(?:{marks})", 1))
-        return F.array(*found, s)
+        marked = reduce(or_, (s.contains(x) for x in MARK_SIGNS))
+        return F.when(s == "", F.array().cast("array<string>")).when(marked, F.filter(F.array(*found, s), lambda x: x != "")).otherwise(F.array(s))
+
+    numbers = F.transform(let(fold_empty(c), tries), numeral_to_int)
+    return F.get(F.filter(numbers, lambda n: n > 0), F.lit(0))
+
 
-    lots = F.transform(let(fold_empty(c), tries), _lot_of_numeral)
-    return F.get(F.filter(lots, lambda x: x.isNotNull()), F.lit(0))
+def _lot(number: Column) -> Column:
+    return let(number, lambda n: F.when(n.isNotNull(), F.concat(F.lit("标段"), int_to_numeral(n))))
+
+
+def lot_number(c: Column) -> Column:
+    """LOT1: the lot a text names: by section marks, then by package marks (number after the mark
+    first), then as a bare number; null if none."""
+    return _lot(_named_number(c))
 
 
 def _lot_of_row(r: Column) -> Column:
-    named = F.array_compact(F.transform(F.array(r["lotNumber"], r["lotName"]), lot_number))
-    return F.coalesce(F.get(named, F.lit(0)), F.lit(DEFAULT_LOT))
+    return F.coalesce(_lot(F.coalesce(_named_number(r["lotNumber"]), _named_number(r["lotName"]))), F.lit(DEFAULT_LOT))
 
 
 def lot_subject(c: Column) -> Column:
@@ -119,9 +129,14 @@ def _text(c: Column) -> Column:
     return F.array_join(split_list(c), ",")
 
 
+def _any_of(r: Column, *names: str) -> Column:
+    """Whether a row says something; the first field that does settles it."""
+    return reduce(or_, (fold_empty(r[f]) != "" for f in names))
+
+
 def products(raw: Column) -> Column:
     """LOT4, LOT5: product rows from rows of texts (RAW_PRODUCTS); rows without any value go."""
-    some = lambda r: F.concat_ws("", *(fold_empty(r[f]) for f in ("lotNumber", "lotName", "subjects", "description", "productCategory", "models", "unitPrices", "quantities", "quantityUnit"))) != ""
+    some = lambda r: _any_of(r, "lotNumber", "lotName", "subjects", "description", "productCategory", "models", "unitPrices", "quantities", "quantityUnit")
 
     def row(r: Column) -> Column:
         quantity = F.coalesce(F.get(split_list(r["quantities"]), F.lit(0)), F.lit(""))
@@ -163,7 +178,7 @@ def candidates(raw: Column) -> Column:
     of one holds for all; the winner of old records counts as candidate."""
 
     def rows(r: Column) -> Column:
-        some = F.concat_ws("", *(fold_empty(r[f]) for f in ("lotNumber", "lotName", "type", "candidates", "candidatePrices", "winner", "winningAmount"))) != ""
+        some = _any_of(r, "lotNumber", "lotName", "type", "candidates", "candidatePrices", "winner", "winningAmount")
         listed = F.struct(
             _lot_of_row(r).alias("lot"), fold_empty(r["lotName"]).alias("name"), candidate_type(r["type"]).alias("kind"), fold_empty(r["winner"]).alias("winner"),
             split_list(r["candidates"]).alias("names"), split_list(r["candidatePrices"]).alias("said"), to_yuan(r["candidatePrices"]).alias("price"), to_yuan(r["winningAmount"]).alias("won"),

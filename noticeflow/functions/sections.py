@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions.html import clean_flat_udf
-from noticeflow.functions.text import let, looks_like_html, strip
+from noticeflow.functions.text import WHITE, let, looks_like_html, strip
 
 # The form of a heading, and the headings with a meaning.
 HEADING = r"^\s{0,3}#{1,6}\s*(.+?)\s*$"
 TITLE, BODY = "标题", "正文"
-# The same form, and white space of any kind, as Python says them: a dot of Java's stops at every line end.
+# The same form as Python says it: a dot of Java's stops at every line end.
 PY_HEADING = re.compile(r"^\s{0,3}#{1,6}\s*([^\n\r\x85\u2028\u2029]+?)\s*(?=[\x85\u2028\u2029]?\Z)", re.ASCII)
-WHITE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def unified(c: Column) -> Column:
@@ -65,9 +64,10 @@ def body(parts: Column) -> Column:
 
 
 def cleaned_body(raw_body: Column) -> Column:
-    """PRJ19: a body that is HTML, cleaned with its table cells flattened; other bodies stay."""
-    cleaned = strip(clean_flat_udf(raw_body))
-    return F.when(looks_like_html(raw_body) & (cleaned != ""), cleaned).otherwise(raw_body)
+    """PRJ19: a body that is HTML, cleaned with its table cells flattened; other bodies stay, and aren't parsed."""
+    html = looks_like_html(raw_body)
+    cleaned = strip(clean_flat_udf(F.when(html, raw_body)))
+    return F.when(html & (cleaned != ""), cleaned).otherwise(raw_body)
 
 
 def rebuilt(c: Column, parts: Column, new_body: Column) -> Column:

@@ -104,13 +104,15 @@ def with_divisions(items: DataFrame) -> DataFrame:
     schema = ", ".join(f"{name(g, f)} string" for g in groups for f in address.FIELDS)
     group = lambda s: F.struct(*(s[f].alias(f) for f in address.FIELDS))
     detail = lambda j: F.get(F.col("_details"), j)
+    at_home = F.struct(*(F.lit(address.CHINA if f == "country" else "").alias(f) for f in address.FIELDS))
 
     def read(payload: Column) -> Column:
         raw = F.from_json(jsonx.lenient_object(payload), schema)
         return text.let(raw, lambda r: F.array(*(F.struct(*(r[name(g, f)].alias(f) for f in address.FIELDS)) for g in groups)))
 
     def defaulted(s: Column, j: Column) -> Column:
-        return F.struct(*(c.alias(f) for f, c in address.or_default(detail(j), {f: text.strip(s[f]) for f in address.FIELDS}).items()))
+        said = F.struct(*(text.strip(s[f]).alias(f) for f in address.FIELDS))
+        return F.when(text.strip(detail(j)) == "", at_home).otherwise(said)  # ADR5, asked once for the four
 
     out = items.withColumns({"_details": F.array(*(F.col(f"{g}AddressDetail") for g in groups)), "_tries": F.transform("_said_address_admin", read)})
     out = out.withColumn("_tries", F.transform("_tries", lambda t: F.transform(t, defaulted)))
@@ -120,12 +122,13 @@ def with_divisions(items: DataFrame) -> DataFrame:
     def hinted(t: Column, a: Column) -> Column:
         def one(s: Column, j: Column) -> Column:
             hint = address.inferred_country(F.get(F.col("_places"), a * len(groups) + j))
-            return text.let(hint, lambda h: s.withField("country", F.when(s["country"].isin("", address.CHINA) & (h != ""), h).otherwise(s["country"])))
+            country = F.when(s["country"].isin("", address.CHINA) & (hint != ""), hint).otherwise(s["country"])
+            return F.struct(country.alias("country"), *(s[f].alias(f) for f in address.FIELDS[1:]))
 
         return F.transform(t, one)
 
     out = out.withColumn("_tries", F.transform("_tries", hinted))
-    valid = lambda s: F.startswith(address.reason(*(s[f] for f in address.FIELDS)), F.lit("ok"))
+    valid = lambda s: F.startswith(address.reason_of(s), F.lit("ok"))
     first = F.get(F.filter("_tries", lambda t: F.forall(t, valid)), F.lit(0))
     out = out.withColumns({"_first": first, "_last": F.get(F.col("_tries"), F.size("_tries") - 1)})
     empty = F.struct(*(F.lit("").alias(f) for f in address.FIELDS))
